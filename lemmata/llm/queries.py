@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import urls, winnow
+from . import bpe, minhash, randomness, urls, winnow
 from ._common import table
 
 
@@ -30,5 +30,32 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_winnowing)}
+def op3_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of `documents`."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in `documents`."""
+    found = randomness.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(F.array_join("base", ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join("spans", ",").alias("spans"),
+        "n_random",
+    )
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of `documents` and what they decode to."""
+    import public_tokenizers
+
+    ranks = bpe.ranks_from(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_winnowing, op3_min_max_near_dedup, op5_secret_scans, op6_byte_bpe)}
 ORACLE_SQL: dict[str, str] = {}
