@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, randomness, urls, winnow
+from . import bpe, covertree, langid, minhash, randomness, urls, winnow
 from ._common import table
 
 
@@ -57,5 +57,27 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_winnowing, op3_min_max_near_dedup, op5_secret_scans, op6_byte_bpe)}
+def op7_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows of `embeddings` for each row whose vec_id is divisible by 50."""
+    rows = table(spark, sf_dir, "embeddings")
+    return covertree.top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of `documents`."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_winnowing,
+        op3_min_max_near_dedup,
+        op5_secret_scans,
+        op6_byte_bpe,
+        op7_cover_tree_top_k,
+        op10_language_id,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
