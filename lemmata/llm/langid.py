@@ -85,16 +85,27 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     for at, value in raw:
         value = value * model.idf[at]
         vectors.append((at, value / (np.sqrt((value**2).sum()) or 1)))
+    train = [i for i in range(len(texts)) if i % CALIBRATION]
+    model.weights, model.bias = ftrl([vectors[i] for i in train], [languages.index(labels[i]) for i in train], size, n)
+    held = [i for i in range(len(texts)) if not i % CALIBRATION]
+    scores = [(vectors[i][1] @ model.weights[vectors[i][0]] + model.bias, languages.index(labels[i])) for i in held]
+    losses = {
+        t: sum(-np.log(max(softmax(s / t)[y], 1e-12)) for s, y in scores) for t in np.exp(np.linspace(np.log(0.05), np.log(5), 60))
+    }
+    model.temperature = float(min(losses, key=losses.get)) if scores else 1.0
+    return model
+
+
+def ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (size x n) and bias of multinomial logistic regression on sparse vectors, by FTRL-proximal with an elastic net."""
     z, g2 = np.zeros((size, n)), np.zeros((size, n))
     bz, bg2 = np.zeros(n), np.zeros(n)
-    train = [i for i in range(len(texts)) if i % CALIBRATION]
     for _ in range(PASSES):
-        for i in train:
-            at, value = vectors[i]
+        for (at, value), label in zip(vectors, labels, strict=True):
             w = weights_of(z[at], g2[at], L1, L2)
             b = weights_of(bz, bg2, 0.0, 0.0)
             error = softmax(value @ w + b)
-            error[languages.index(labels[i])] -= 1
+            error[label] -= 1
             grad = value[:, None] * error
             step = (np.sqrt(g2[at] + grad**2) - np.sqrt(g2[at])) / ALPHA
             z[at] += grad - step * w
@@ -102,14 +113,7 @@ def fit(texts: list[str], labels: list[str]) -> Model:
             step = (np.sqrt(bg2 + error**2) - np.sqrt(bg2)) / ALPHA
             bz += error - step * b
             bg2 += error**2
-    model.weights, model.bias = weights_of(z, g2, L1, L2), weights_of(bz, bg2, 0.0, 0.0)
-    held = [i for i in range(len(texts)) if not i % CALIBRATION]
-    scores = [(vectors[i][1] @ model.weights[vectors[i][0]] + model.bias, languages.index(labels[i])) for i in held]
-    losses = {
-        t: sum(-np.log(max(softmax(s / t)[y], 1e-12)) for s, y in scores) for t in np.exp(np.linspace(np.log(0.05), np.log(5), 60))
-    }
-    model.temperature = float(min(losses, key=losses.get)) if scores else 1.0
-    return model
+    return weights_of(z, g2, L1, L2), weights_of(bz, bg2, 0.0, 0.0)
 
 
 def weights_of(z: np.ndarray, g2: np.ndarray, l1: float, l2: float) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, langid, minhash, randomness, urls, winnow
+from . import bpe, covertree, langid, minhash, mixing, randomness, substrings, suffixes, urls, winnow
 from ._common import table
 
 
@@ -35,6 +35,12 @@ def op3_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of `documents` for the target weights of the domains in `labels`."""
+    found = mixing.mixed_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "words", "domain", *(F.get("posteriors", F.lit(i)).alias(f"p{i}") for i in range(4)), "rate", "copies")
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in `documents`."""
     found = randomness.scan(table(spark, sf_dir, "documents"))
@@ -63,6 +69,18 @@ def op7_cover_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.top_k(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of `documents` stays without strings of 100 bytes that start earlier."""
+    found = suffixes.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of `documents` stays without windows of 35 words that occur more than once."""
+    found = substrings.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of `documents`."""
     return langid.identify(table(spark, sf_dir, "documents"))
@@ -74,9 +92,12 @@ QUERIES = {
         op1_url_filters,
         op2_winnowing,
         op3_min_max_near_dedup,
+        op4_soft_mixing,
         op5_secret_scans,
         op6_byte_bpe,
         op7_cover_tree_top_k,
+        op8_suffix_array_dedup,
+        op9_substring_dedup,
         op10_language_id,
     )
 }
