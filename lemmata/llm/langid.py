@@ -96,28 +96,30 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     return model
 
 
-def ftrl(vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def ftrl(
+    vectors: list[tuple[np.ndarray, np.ndarray]], labels: list[int], size: int, n: int, alpha: float = ALPHA, l1: float = L1, l2: float = L2
+) -> tuple[np.ndarray, np.ndarray]:
     """Weights (size x n) and bias of multinomial logistic regression on sparse vectors, by FTRL-proximal with an elastic net."""
     z, g2 = np.zeros((size, n)), np.zeros((size, n))
     bz, bg2 = np.zeros(n), np.zeros(n)
     for _ in range(PASSES):
         for (at, value), label in zip(vectors, labels, strict=True):
-            w = weights_of(z[at], g2[at], L1, L2)
-            b = weights_of(bz, bg2, 0.0, 0.0)
+            w = weights_of(z[at], g2[at], l1, l2, alpha)
+            b = weights_of(bz, bg2, 0.0, 0.0, alpha)
             error = softmax(value @ w + b)
             error[label] -= 1
             grad = value[:, None] * error
-            step = (np.sqrt(g2[at] + grad**2) - np.sqrt(g2[at])) / ALPHA
+            step = (np.sqrt(g2[at] + grad**2) - np.sqrt(g2[at])) / alpha
             z[at] += grad - step * w
             g2[at] += grad**2
-            step = (np.sqrt(bg2 + error**2) - np.sqrt(bg2)) / ALPHA
+            step = (np.sqrt(bg2 + error**2) - np.sqrt(bg2)) / alpha
             bz += error - step * b
             bg2 += error**2
-    return weights_of(z, g2, L1, L2), weights_of(bz, bg2, 0.0, 0.0)
+    return weights_of(z, g2, l1, l2, alpha), weights_of(bz, bg2, 0.0, 0.0, alpha)
 
 
-def weights_of(z: np.ndarray, g2: np.ndarray, l1: float, l2: float) -> np.ndarray:
-    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(g2)) / ALPHA + l2))
+def weights_of(z: np.ndarray, g2: np.ndarray, l1: float, l2: float, alpha: float) -> np.ndarray:
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(g2)) / alpha + l2))
 
 
 def held_out(doc_id: Column) -> Column:

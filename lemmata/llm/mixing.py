@@ -14,10 +14,12 @@ from .langid import ftrl, softmax
 
 #: Word features fall into 2**BITS cells; at most SAMPLE labelled rows of at most TEXT_CHARS characters fit the classifier.
 BITS, SAMPLE, TEXT_CHARS = 16, 4000, 20_000
+#: Weight of a word that occurs; learning rate and elastic-net penalties of the classifier.
+PRESENT, ALPHA, L1, L2 = 0.3, 0.1, 2.0, 0.01
 #: Steps at most, and the largest error of a domain's share at which they end; the pull of rates towards 1.
-STEPS, CLOSE, PULL = 80, 0.001, 1e-3
+STEPS, CLOSE, PULL = 60, 0.002, 0.01
 #: Shares of all tokens that are wanted: domains are (quality, toxic) of the labelled table.
-TARGETS = {"1/0": 0.88, "0/0": 0.10, "1/1": 0.015, "0/1": 0.005}
+TARGETS = {"1/0": 0.82, "0/0": 0.06, "1/1": 0.10, "0/1": 0.02}
 
 
 @dataclass
@@ -37,30 +39,30 @@ class Mixture:
         return words, p
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        """Rates after all steps; they start from 1, and each step is max(0, r - pull) with momentum."""
-        rate = ahead = np.ones(len(p))
-        for pull, momentum in self.steps:
-            new = np.maximum(0.0, ahead - p @ pull - self.shrink * (ahead - 1))
-            rate, ahead = new, new + momentum * (new - rate)
-        return rate
+        """Rates after all steps."""
+        return self._after_steps(p)[0]
 
     def ahead(self, p: np.ndarray) -> np.ndarray:
+        """Where the next step starts."""
+        return self._after_steps(p)[1]
+
+    def _after_steps(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates start from 1; each step is max(0, rate - pull), with momentum."""
         rate = ahead = np.ones(len(p))
         for pull, momentum in self.steps:
             new = np.maximum(0.0, ahead - p @ pull - self.shrink * (ahead - 1))
             rate, ahead = new, new + momentum * (new - rate)
-        return ahead
+        return rate, ahead
 
 
 def word_vectors(texts: Texts) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each text the cells of its lower-cased words with 1 + log of their counts, of length 1; and its number of words."""
+    """For each text the cells of the lower-cased words that occur in it, with weights; and its number of words."""
     _, _, words, first = texts.words(lower=True)
     cells = (words & np.uint64((1 << BITS) - 1)).astype(np.int64)
     out = []
     for a, b in zip(first[:-1], first[1:], strict=True):
-        at, n = np.unique(cells[a:b], return_counts=True)
-        value = 1 + np.log(n)
-        out.append((at, value / (np.sqrt((value**2).sum()) or 1)))
+        at = np.unique(cells[a:b])
+        out.append((at, np.full(len(at), PRESENT)))
     return out, np.diff(first)
 
 
@@ -76,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> Mixt
     if not got.num_rows:
         return Mixture(domains, np.zeros((1 << BITS, n)), np.zeros(n))
     vectors, _ = word_vectors(Texts(got.column("text").combine_chunks()))
-    weights, bias = ftrl(vectors, [domains.index(d) for d in got.column("domain").to_pylist()], 1 << BITS, n)
+    weights, bias = ftrl(vectors, [domains.index(d) for d in got.column("domain").to_pylist()], 1 << BITS, n, ALPHA, L1, L2)
     return Mixture(domains, weights, bias)
 
 
