@@ -65,21 +65,29 @@ _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    global _powers
-    if len(_powers[0]) < n:
-        m = 1 << (n - 1).bit_length()
-        both = []
-        for base in (_BASE, _BASE_INVERSE):
-            x = np.full(m, base)
-            x[0] = 1
-            both.append(np.multiply.accumulate(x))
-        _powers = tuple(both)
-    return _powers[0][:n], _powers[1][:n]
+
+
+class _Powers:
+    """powers(n): base**i and base**-i modulo 2**64 for i < n. What is held doesn't travel with functions."""
+
+    def __init__(self):
+        self.held = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[0]) < n:
+            both = []
+            for base in (_BASE, _BASE_INVERSE):
+                x = np.full(1 << (n - 1).bit_length(), base)
+                x[0] = 1
+                both.append(np.multiply.accumulate(x))
+            self.held = tuple(both)
+        return self.held[0][:n], self.held[1][:n]
+
+
+powers = _Powers()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
