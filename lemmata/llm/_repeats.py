@@ -167,3 +167,31 @@ def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key that rows share only if they are equal in both."""
     docs = docs.select(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
     return docs.withColumn("key", F.xxhash64("doc_id", "text"))
+
+
+def covered(spans: pa.ListArray, length: int):
+    """For each row a function from its number of symbols to a mask of those that its spans' windows cover; None without spans.
+
+    spans: list<struct<start, n, which>>: windows start at start .. start + n - 1, or at start + w for w in which.
+    """
+    values, at = spans.values, np.asarray(spans.offsets)
+    start, count = (np.asarray(values.field(f), dtype=np.int64) for f in ("start", "n"))
+    which = values.field("which")
+    some = np.asarray(which.is_valid()) if len(which) else np.zeros(0, bool)
+    inner, offsets = np.asarray(which.values, dtype=np.int64), np.asarray(which.offsets, dtype=np.int64)
+
+    def mask(a: int, b: int, n: int) -> np.ndarray:
+        mark = np.zeros(n + 1, np.int32)
+        part = some[a:b]
+        first = start[a:b][~part]
+        np.add.at(mark, first, 1)
+        np.add.at(mark, first + count[a:b][~part] - 1 + length, -1)
+        if part.any():
+            lo, hi = offsets[a:b][part], offsets[a + 1 : b + 1][part]
+            first = np.concatenate([s + inner[x:y] for s, x, y in zip(start[a:b][part], lo, hi, strict=True)])
+            np.add.at(mark, first, 1)
+            np.add.at(mark, first + length, -1)
+        return np.cumsum(mark)[:-1] > 0
+
+    for a, b, real in zip(at[:-1].tolist(), at[1:].tolist(), np.asarray(spans.is_valid()).tolist(), strict=True):
+        yield (lambda n, a=a, b=b: mask(a, b, n)) if real else None

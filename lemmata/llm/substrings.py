@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Texts, chunks, materialize
-from ._repeats import Unit, estimated_repeated, keyed, runs_of, sketch, window_hashes, word_symbols
+from ._repeats import Unit, covered, estimated_repeated, keyed, runs_of, sketch, window_hashes, word_symbols
 
 #: Words of a window, and of the grams that anchor it.
 WORDS, GRAM = 35, 18
@@ -70,17 +70,11 @@ def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
     def of(batches):
         for batch in batches:
             n, removed, kept = [], [], []
-            for text, found in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, mask in zip(batch.column("text"), covered(batch.column("spans"), words), strict=True):
                 own = text.as_py().encode().split()
                 n.append(len(own))
-                if found.is_valid:
-                    mark = np.zeros(len(own) + 1, np.int64)
-                    for s in found.as_py():
-                        starts = s["start"] + np.array(s["which"] if s["which"] is not None else range(s["n"]))
-                        np.add.at(mark, starts, 1)
-                        np.add.at(mark, starts + words, -1)
-                    stay = np.cumsum(mark)[:-1] == 0
-                    own = [w for w, k in zip(own, stay.tolist(), strict=True) if k]
+                if mask:
+                    own = [w for w, gone in zip(own, mask(len(own)).tolist(), strict=True) if not gone]
                 removed.append(n[-1] - len(own))
                 kept.append(b" ".join(own))
             yield pa.RecordBatch.from_arrays(

@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import Texts, chunks, materialize
-from ._repeats import Unit, byte_symbols, estimated_repeated, keyed, runs_of, sketch
+from ._repeats import Unit, byte_symbols, covered, estimated_repeated, keyed, runs_of, sketch
 
 #: Bytes of a string that counts as repeated, and of the grams that anchor it.
 LENGTH, GRAM = 100, 32
 #: Bytes of a shard, about; stretches of one anchor in a shard. An anchor with more is dealt over several shards, which are merged.
-SHARD_BYTES, ANCHOR_ROWS = 4 << 20, 4096
+SHARD_BYTES, ANCHOR_ROWS = 1 << 20, 4096
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -224,17 +224,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     def of(batches):
         for batch in batches:
             out = []
-            for text, found in zip(batch.column("text"), batch.column("spans"), strict=True):
+            for text, mask in zip(batch.column("text"), covered(batch.column("spans"), length), strict=True):
                 own = text.as_py().encode()
                 removed = parts = 0
                 n = len(own)
-                if found.is_valid:
-                    mark = np.zeros(n + 1, np.int64)
-                    for s in found.as_py():
-                        starts = s["start"] + np.array(s["which"] if s["which"] is not None else range(s["n"]))
-                        np.add.at(mark, starts, 1)
-                        np.add.at(mark, starts + length, -1)
-                    gone = np.cumsum(mark)[:-1] > 0
+                if mask:
+                    gone = mask(n)
                     removed = int(gone.sum())
                     parts = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
                     own = np.frombuffer(own, np.uint8)[~gone].tobytes()
