@@ -18,8 +18,11 @@ PERMUTATIONS, ROWS = 64, 4
 _rng = np.random.default_rng(7)
 _FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.integers(0, 1 << 63, PERMUTATIONS).astype(np.uint64) * np.uint64(2)
+_rng = np.random.default_rng(7)
+_FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_TERMS = _rng.integers(0, 1 << 63, PERMUTATIONS).astype(np.uint64) * np.uint64(2)
 #: Pivots of a later round for each bucket that is still open; they double from round to round up to the second number.
-PIVOTS = (8, 64)
+PIVOTS = (4, 32)
 
 
 def shingles(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +124,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(of, "a bigint, b bigint").distinct()
 
 
+def prefix_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs a, b of open_ (rep, component) in different components that can be similar enough; all that are similar enough are among them.
+
+    Shingles are put in one order, rare ones first. Of two sets with a similarity of t, the smaller one's first n - ceil(2t / (1 + t) n) + 1 shingles and the larger one's
+    first n - ceil(t n) + 1 have one in common, and what follows the first common one must be long enough for the rest. Shingles of one set only fill these beginnings where texts
+    differ enough, so variants of one text that aren't similar enough don't meet.
+    """
+
+    def of(batches):
+        for batch in batches:
+            each = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+            n = np.array([len(x) for x in each], np.int64)
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(at) for c in ("rep", "component", "set")), pa.array(np.repeat(n, n)), pa.array(np.concatenate(each) if each else np.zeros(0, np.int64))],
+                ["rep", "component", "set", "n", "token"],
+            )
+
+    own = sets.join(open_, F.col("id") == F.col("rep")).select("rep", "component", F.xxhash64("shingles").alias("set"), "shingles")
+    tokens = materialize(own.mapInArrow(of, "rep bigint, component bigint, set bigint, n bigint, token bigint"))
+    often = materialize(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
+    lists = tokens.join(often, "token").groupBy("set", "rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("o"))
+    lists = lists.withColumn("alone", F.col("n") - F.size("o"))
+    probe = lists.select(
+        "rep", "component", "n", "alone", F.posexplode(F.expr("slice(o, 1, cast(greatest(n - (3 * n + 3) div 4 + 1 - alone, 0) as int))")).alias("i", "t")
+    )
+    probe = materialize(probe.select("rep", "component", "n", F.col("t.token").alias("token"), (F.col("alone") + F.col("i") + 1).alias("at")))
+    small = probe.where(F.expr("at <= n - (6 * n + 6) div 7 + 1")).select(
+        "token", F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("at").alias("atb")
+    )
+    met = probe.join(small, "token").where("component <> cb and (nb < n or nb = n and b < rep) and 100 * nb >= 75 * n")
+    met = met.where("175 * (1 + least(n - at, nb - atb)) >= 75 * (n + nb)")
+    return met.select(F.greatest("rep", "b").alias("a"), F.least("rep", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept of each row.
 
@@ -128,10 +166,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     empty sets and are linked with nothing; they are kept. Rows with one doc_id are one node. A null doc_id takes no part:
     its component is null and it is kept. Extra columns are not read.
 
-    Equal sets form a class first, so copies cost one row each. Classes that share a band meet the smallest of its bucket
-    (the pivot) and links are confirmed on full sets. A bucket whose members are not all in
-    one component by then gets further pivots, round by round, until every two of its members are in one component or have been
-    compared; so no candidate is dropped, and no round makes more than a few rows for each member.
+    Equal sets form a class first, so copies cost one row each. Classes that share a band meet one of their bucket, the pivot: the class
+    that shares most bands with others, as the text has that the others were made from. Links are confirmed on full sets. A bucket whose members are not all in
+    one component by then gets further pivots, from those outside its largest component, round by round, until every two of its members are in one component or have been
+    compared; so no candidate is dropped, and a round makes no more than a few rows for each member. Buckets with the same members count as one then.
     """
     rows = materialize(signatures(docs))
     shingled = rows.where("n_shingles > 0 and doc_id is not null")
@@ -139,40 +177,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         shingled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
     banded = classes.select("rep", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = materialize(banded.join(materialize(shared.select("key", "pivot")), "key"))
-    needed = members.select("rep").distinct()
-    sets = materialize(full_sets(docs.join(needed, F.col("doc_id") == F.col("rep"), "left_semi")))
+    shared = materialize(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    members = materialize(banded.join(shared, "key"))
+    sets = full_sets(docs.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi"))
+    sets = materialize(sets)
+    weight = materialize(members.groupBy("rep").agg(F.sum("size").alias("weight")))
+    left = materialize(members.join(weight, "rep").select("key", "rep", "n", "weight"))
+    first = left.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("pivot"))
+    first = materialize(first)
     close = 100 * F.least("n", "pivot.n") >= SIMILAR * F.greatest("n", "pivot.n")
-    pairs = members.where(close & (F.col("rep") != F.col("pivot.rep"))).select(
-        F.col("rep").alias("a"), F.col("pivot.rep").alias("b")
-    )
-    links = materialize(confirmed(pairs.distinct(), sets))
+    ends = (F.greatest("rep", "pivot.rep").alias("a"), F.least("rep", "pivot.rep").alias("b"))
+    met = left.join(first, "key").where(F.col("rep") != F.col("pivot.rep"))
+    links = materialize(confirmed(met.where(close).select(*ends).distinct(), sets))
     found = components(links)
-    left, most = members.where("rep <> pivot.rep").select("key", "rep", "n"), PIVOTS[0]
-    while True:
-        node = found.select(F.col("node").alias("rep"), "component")
-        left = left.join(node, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        still = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        left = materialize(left.join(still.select("key"), "key"))
-        if left.isEmpty():
-            break
-        chosen = left.groupBy("key").agg(
-            F.array_distinct(
-                F.array(*(F.min(F.struct(F.xxhash64("rep", F.lit(i)).alias("h"), "rep", "n", "component")) for i in range(most)))
-            ).alias("p")
-        )
-        chosen = materialize(chosen.select("key", F.transform("p", lambda p: F.struct(p["rep"].alias("rep"), p["n"].alias("n"), p["component"].alias("component"))).alias("p")))
-        met = left.join(chosen, "key")
-        pairs = met.select("rep", "n", "component", F.explode(F.array_distinct("p")).alias("pivot"))
-        pairs = pairs.where(close & (F.col("component") != F.col("pivot.component")))
-        pairs = pairs.select(F.greatest("rep", "pivot.rep").alias("a"), F.least("rep", "pivot.rep").alias("b")).distinct()
-        more = materialize(confirmed(pairs, sets))
-        left = materialize(met.where(~F.exists("p", lambda p: p["rep"] == F.col("rep"))).select("key", "rep", "n"))
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            found = components(links)
-        most = min(2 * most, PIVOTS[1])
+    node = found.select(F.col("node").alias("rep"), "component")
+    left = met.select("key", "rep").join(node, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    left = materialize(left)
+    still = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    open_ = materialize(left.join(materialize(still), "key").select("rep", "component").distinct())
+    more = materialize(confirmed(prefix_pairs(open_, sets), sets))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     ids = classes.select("s1", "s2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     ids = materialize(ids.select("s1", "s2", F.coalesce("component", "rep").alias("component_id")))
     out = rows.join(ids.withColumn("full", F.lit(True)), ["s1", "s2"], "left")
