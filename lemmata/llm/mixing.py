@@ -77,7 +77,7 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> Mixt
     n = len(domains)
     if not got.num_rows:
         return Mixture(domains, np.zeros((1 << BITS, n)), np.zeros(n))
-    vectors, _ = word_vectors(Texts(got.column("text").combine_chunks()))
+    vectors = [v for batch in got.to_batches() for part in chunks(batch, "text") for v in word_vectors(Texts(part.column("text")))[0]]
     weights, bias = ftrl(vectors, [domains.index(d) for d in got.column("domain").to_pylist()], 1 << BITS, n, ALPHA, L1, L2)
     return Mixture(domains, weights, bias)
 
