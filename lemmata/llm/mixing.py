@@ -78,7 +78,9 @@ def train(docs: DataFrame, labels: DataFrame, targets: dict[str, float]) -> Mixt
     if not got.num_rows:
         return Mixture(domains, np.zeros((1 << BITS, n)), np.zeros(n))
     vectors = [v for batch in got.to_batches() for part in chunks(batch, "text") for v in word_vectors(Texts(part.column("text")))[0]]
-    weights, bias = ftrl(vectors, [domains.index(d) for d in got.column("domain").to_pylist()], 1 << BITS, n, ALPHA, L1, L2)
+    labels_ = [domains.index(d) for d in got.column("domain").to_pylist()]
+    weights, bias = ftrl(vectors, labels_, 1 << BITS, n, ALPHA, L1, L2)
+    bias[np.setdiff1d(np.arange(n), labels_)] = -np.inf  # nothing is known of a domain without labels: it has no posterior
     return Mixture(domains, weights, bias)
 
 
@@ -87,7 +89,9 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGE
 
     Least squares: nonnegative rates r whose expected domain totals sum(words * p * r) match `targets` shares of all words, with a slight
     pull towards 1. A step needs only the domains' totals at the present rates, one row of sums from each task; rates are not stored, as each task works them out
-    from the steps so far. Steps are accelerated (Nesterov) and scaled by the largest eigenvalue of the domains' moments.
+    from the steps so far. Errors are weighed by 1 / wanted total, so that small domains count and a domain that posteriors hardly show doesn't outweigh the others. Steps are
+    accelerated (Nesterov) and scaled by the largest eigenvalue of the domains' moments. A domain without labelled rows can't be told: its posteriors are 0, and the
+    others' targets are scaled up to all words.
     """
     mixture = train(docs, labels, targets)
     sent = docs.sparkSession.sparkContext.broadcast((mixture.domains, mixture.weights, mixture.bias))
@@ -115,9 +119,9 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGE
     moments = np.zeros((n, n))
     for i, j in pairs:
         moments[i, j] = moments[j, i] = sums[f"m{i}_{j}"]
-    share = np.array([targets[d] for d in mixture.domains])
+    share = np.array([targets[d] for d in mixture.domains]) * np.isfinite(mixture.bias)
     want = share / share.sum() * float(sums["all"])
-    scale = 1 / np.maximum(np.diag(moments), 1e-9)
+    scale = np.divide(1.0, want, out=np.zeros(n), where=want > 0)
     top = float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * moments * np.sqrt(scale)).max()) + PULL
     mixture.shrink = PULL / top
     t = 1.0

@@ -202,6 +202,21 @@ def test_mixing(spark):
     assert {r.rate for r in mixing.mixed_rates(docs.limit(3), labels.where("false")).collect()} != set()
 
 
+def test_mixing_without_labels_of_a_domain(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(30, rng) + (" $$$ %%%" if i % 5 == 0 else "")) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(0, 500, 2)], "doc_id bigint, quality int, toxic int")
+    targets = {"1/0": 0.6, "0/0": 0.15, "0/1": 0.25}
+    found = mixing.mixed_rates(docs, labels, targets).collect()
+    total = sum(r.words for r in found)
+    wanted = {"0/0": 0.2, "0/1": 0.0, "1/0": 0.8}
+    for i, d in enumerate(sorted(targets)):
+        assert abs(sum(r.words * r.rate * r.posteriors[i] for r in found) / total - wanted[d]) < 0.02
+    assert all(r.posteriors[1] == 0 for r in found) and max(r.rate for r in found) < 5
+    assert 400 < sum(r.copies for r in found) < 600
+
+
 def test_secrets(spark, empty):
     hexes = hashlib.md5(b"x").hexdigest()
     rng = random.Random(9)
