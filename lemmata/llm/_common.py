@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in pieces of about so many bytes, so that temporary arrays stay small.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 1 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
