@@ -18,11 +18,6 @@ PERMUTATIONS, ROWS = 64, 4
 _rng = np.random.default_rng(7)
 _FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _TERMS = _rng.integers(0, 1 << 63, PERMUTATIONS).astype(np.uint64) * np.uint64(2)
-_rng = np.random.default_rng(7)
-_FACTORS = _rng.integers(0, 1 << 63, PERMUTATIONS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _rng.integers(0, 1 << 63, PERMUTATIONS).astype(np.uint64) * np.uint64(2)
-#: Pivots of a later round for each bucket that is still open; they double from round to round up to the second number.
-PIVOTS = (4, 32)
 
 
 def shingles(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -167,9 +162,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     its component is null and it is kept. Extra columns are not read.
 
     Equal sets form a class first, so copies cost one row each. Classes that share a band meet one of their bucket, the pivot: the class
-    that shares most bands with others, as the text has that the others were made from. Links are confirmed on full sets. A bucket whose members are not all in
-    one component by then gets further pivots, from those outside its largest component, round by round, until every two of its members are in one component or have been
-    compared; so no candidate is dropped, and a round makes no more than a few rows for each member. Buckets with the same members count as one then.
+    that shares most bands with others, as the text has that the others were made from. Links are confirmed on full sets. Members of
+    buckets that are not all in one component by then are compared by an exact prefix join (prefix_pairs), so no candidate is dropped.
     """
     rows = materialize(signatures(docs))
     shingled = rows.where("n_shingles > 0 and doc_id is not null")
