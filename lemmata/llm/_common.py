@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in pieces of about so many bytes, so that temporary arrays stay small.
 CHUNK_BYTES = 1 << 20
+#: Rows go to Python in batches of about so many bytes; a longer row stands alone.
+BATCH_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -48,6 +50,15 @@ def _remove() -> None:
             return
 
 
+def in_batches(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow, with the session's batches held to BATCH_BYTES: JVM and Python both buffer whole batches outside the heap, in each task.
+
+    What comes back has about the size of what went in. Its own limit (maxBytesPerOutputBatch) stays unset: with it, Spark 4.1 fails on a batch without rows.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+    return df.mapInArrow(f, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _BYTE, Texts, chunks, mix, powers, prefix_hashes
+from ._common import _BYTE, Texts, chunks, in_batches, mix, powers, prefix_hashes
 
 #: Cells of each of the sketch's two rows; the merged sketch has a bit a cell: 32 MB in all, whatever the input. A fuller sketch
 #: lets more windows into the second pass and loses none.
@@ -132,7 +132,7 @@ def sketch(docs: DataFrame, unit: Unit) -> np.ndarray:
         some = {b: np.packbits(c > 1).tobytes() for b, c in counts.items() if (c > 1).any()}
         yield pa.RecordBatch.from_arrays([pa.array(list(some), pa.int32()), pa.array(list(some.values()), pa.binary())], ["block", "bits"])
 
-    merged = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(merge, "block int, bits binary").toArrow()
+    merged = docs.select("text").transform(in_batches, count, schema).repartition("block").transform(in_batches, merge, "block int, bits binary").toArrow()
     out = np.zeros((DEPTH << (CELL_BITS - _BLOCK), 1 << (_BLOCK - 3)), np.uint8)
     for block, bits in zip(merged.column("block").to_pylist(), merged.column("bits").to_pylist(), strict=True):
         out[block] = np.frombuffer(bits, np.uint8)

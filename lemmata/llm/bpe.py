@@ -12,6 +12,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import in_batches
+
 #: Unicode's White_Space, as the library's patterns understand \s.
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: No match of the pattern reaches from another character into white space, so a text may be cut before each run of it.
@@ -88,7 +90,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool
     names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
     kinds = "string, string".split(", ") if digests else ["array<int>", "binary"]
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return docs.mapInArrow(of, f"doc_id bigint, n_tokens bigint, {names[2]} {kinds[0]}, {names[3]} {kinds[1]}")
+    return docs.transform(in_batches, of, f"doc_id bigint, n_tokens bigint, {names[2]} {kinds[0]}, {names[3]} {kinds[1]}")
 
 
 def ranks_from(path: str) -> dict[bytes, int]:

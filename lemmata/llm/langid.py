@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import in_batches
+
 #: n-grams of one to ORDER characters fall into 2**BITS features.
 ORDER, BITS = 3, 15
 #: Bounds of the training sample: texts of each language, languages (the commonest), characters of a text. The classifier alone is fitted on it.
@@ -169,7 +171,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
             )
 
     docs = docs.select(F.col("doc_id").cast("bigint"), "text", held_out(F.col("doc_id")).alias("held_out"))
-    return docs.mapInArrow(of, "doc_id bigint, held_out boolean, lang_pred string, score double")
+    return docs.transform(in_batches, of, "doc_id bigint, held_out boolean, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame) -> DataFrame:
@@ -185,4 +187,4 @@ def known_language(docs: DataFrame) -> DataFrame:
                 keep.append(lang != UNKNOWN and score >= LEAST_SCORE)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.transform(in_batches, of, docs.schema)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Texts, chunks, materialize, mix, prefix_hashes, span
+from ._common import Texts, chunks, in_batches, materialize, mix, prefix_hashes, span
 from ._graph import components
 
 #: Words of a shingle; documents are linked at 100 * intersection >= SIMILAR * union.
@@ -83,7 +83,8 @@ def signatures(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_shingles", "s1", "s2", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("bigint"), "text").transform(
+        in_batches,
         of, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>"
     )
 
@@ -98,7 +99,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
                 sets = [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(of, "id bigint, shingles binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").transform(in_batches, of, "id bigint, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -116,7 +117,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = (sets.select(F.col("id").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(of, "a bigint, b bigint").distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").transform(in_batches, of, "a bigint, b bigint").distinct()
 
 
 def prefix_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
@@ -138,7 +139,7 @@ def prefix_pairs(open_: DataFrame, sets: DataFrame) -> DataFrame:
             )
 
     own = sets.join(open_, F.col("id") == F.col("rep")).select("rep", "component", F.xxhash64("shingles").alias("set"), "shingles")
-    tokens = materialize(own.mapInArrow(of, "rep bigint, component bigint, set bigint, n bigint, token bigint"))
+    tokens = materialize(own.transform(in_batches, of, "rep bigint, component bigint, set bigint, n bigint, token bigint"))
     often = materialize(tokens.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"))
     lists = tokens.join(often, "token").groupBy("set", "rep", "component", "n").agg(F.array_sort(F.collect_list(F.struct("c", "token"))).alias("o"))
     lists = lists.withColumn("alone", F.col("n") - F.size("o"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Texts, chunks, materialize, mix
+from ._common import Texts, chunks, in_batches, materialize, mix
 from .langid import ftrl, softmax
 
 #: Word features fall into 2**BITS cells; at most SAMPLE labelled rows of at most TEXT_CHARS characters fit the classifier.
@@ -107,7 +107,7 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGE
                     ["doc_id", "words", "p"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(score, "doc_id bigint, words bigint, p array<double>")
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").transform(in_batches, score, "doc_id bigint, words bigint, p array<double>")
     rows = materialize(rows)
     n = len(mixture.domains)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
@@ -135,7 +135,7 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGE
                 out += (np.asarray(batch.column("words")) * model.ahead(p)) @ p
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["s"])
 
-        parts = rows.select("words", "p").mapInArrow(total, "s array<double>")
+        parts = rows.select("words", "p").transform(in_batches, total, "s array<double>")
         have = np.array(parts.agg(*(F.sum(F.get("s", F.lit(i))) for i in range(n))).first(), float)
         error = have - want
         if np.abs(error).max() <= CLOSE * want.sum():
@@ -179,7 +179,7 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
                 ["doc_id", "words", "domain", "posteriors", "rate", "copies"],
             )
 
-    return rows.mapInArrow(of, "doc_id bigint, words bigint, domain string, posteriors array<double>, rate double, copies bigint")
+    return rows.transform(in_batches, of, "doc_id bigint, words bigint, domain string, posteriors array<double>, rate double, copies bigint")
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
@@ -195,4 +195,4 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
                 ids = np.asarray(part.column("doc_id").fill_null(0))
                 yield part.take(pa.array(np.repeat(np.arange(part.num_rows), copies_of(ids, model.rates(p)))))
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.transform(in_batches, of, docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import in_batches, materialize
 
 #: Kinds in the order in which they are listed, with their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -140,7 +140,8 @@ def tested_rows(docs: DataFrame) -> DataFrame:
             )
 
     return materialize(
-        docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(
+        docs.select(F.col("doc_id").cast("bigint"), "text").transform(
+            in_batches,
             of,
             "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base array<struct<start:bigint,kind:int,end:bigint>>,"
             " tested array<struct<start:bigint,end:bigint,p:double>>",
@@ -231,4 +232,4 @@ def without_secrets(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(j, batch.schema.field(j), sizes)
             yield batch
 
-    return docs.mapInArrow(of, docs.schema)
+    return docs.transform(in_batches, of, docs.schema)

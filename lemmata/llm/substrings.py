@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Texts, chunks, materialize
+from ._common import Texts, chunks, in_batches, materialize
 from ._repeats import Unit, covered, estimated_repeated, keyed, runs_of, sketch, window_hashes, word_symbols
 
 #: Words of a window, and of the grams that anchor it.
@@ -45,7 +45,7 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> D
                     ["key", "start", "n", "anchor", "run", "windows"],
                 )
 
-    rows = materialize(docs.mapInArrow(of, "key bigint, start int, n int, anchor bigint, run bigint, windows array<bigint>"))
+    rows = materialize(docs.transform(in_batches, of, "key bigint, start int, n int, anchor bigint, run bigint, windows array<bigint>"))
     classes = materialize(rows.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.first("windows").alias("windows")))
     several = classes.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select("anchor")
     open_ = classes.join(several, "anchor", "left_semi").select("anchor", "run", "copies", F.posexplode("windows").alias("i", "window"))
@@ -83,4 +83,4 @@ def dedup(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
             )
 
     rows = keyed(docs).join(spans, F.col("key") == F.col("k"), "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(of, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    return rows.transform(in_batches, of, "doc_id bigint, n_words bigint, n_removed bigint, kept string")

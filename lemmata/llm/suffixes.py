@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Texts, chunks, materialize
+from ._common import Texts, chunks, in_batches, materialize
 from ._repeats import Unit, byte_symbols, covered, estimated_repeated, keyed, runs_of, sketch
 
 #: Bytes of a string that counts as repeated, and of the grams that anchor it.
@@ -139,7 +139,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 )
 
     rows = materialize(
-        docs.mapInArrow(of, "key bigint, doc_id bigint, start bigint, n int, anchor bigint, run bigint, stretch binary")
+        docs.transform(in_batches, of, "key bigint, doc_id bigint, start bigint, n int, anchor bigint, run bigint, stretch binary")
     )
     classes = materialize(
         rows.groupBy("anchor", "run").agg(
@@ -240,4 +240,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
             )
 
     rows = keyed(docs).join(spans, F.col("key") == F.col("k"), "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(of, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return rows.transform(in_batches, of, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
