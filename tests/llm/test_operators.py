@@ -397,3 +397,11 @@ def test_language(spark, docs, rows):
     assert langid.identify(docs.where("false"), model).count() == 0
     untaught = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in langid.identify(untaught).collect()} == {"und"}
+
+
+def test_batches_without_rows(spark):
+    """Rows larger than a batch, and batches of which nothing stays."""
+    docs = spark.createDataFrame([(i, "12 " * 2_000_000 if i % 3 == 0 else "7") for i in range(12)], "doc_id bigint, text string").coalesce(1)
+    model = langid.fit(["the cat sat", "le chat est"] * 6, ["en", "fr"] * 6)
+    assert {(r.lang_pred, r.score) for r in langid.identify(docs, model).collect()} == {("und", 0.0)}
+    assert langid.known_language(docs.withColumn("lang", F.lit("en"))).count() == 0
