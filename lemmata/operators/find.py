@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import base
 from ..query import NameQuery, Query
 from . import predicates as P
+from .terms import specifics
 
 
 def name_score(name: Column, asked: str) -> Column:
@@ -38,10 +39,17 @@ def score(q: Query) -> Column:
     return F.greatest(total - F.when(F.col("sorry"), 2).otherwise(0), F.lit(0))
 
 
+def matching(decls: DataFrame, q: Query) -> DataFrame:
+    """All rows that match. Terms are unified last, in Python, and only on rows that meet every other condition; they add a column specifics."""
+    rows = decls.where(P.matches(q))
+    return rows if q.term is None else rows.withColumn("specifics", specifics(F.col("term"), q.term)).where("specifics is not null")
+
+
 def ranked(decls: DataFrame, q: Query) -> DataFrame:
-    """All matches with their score, best first: score, then bytes of the type, then load order. No candidate is cut before ranking."""
+    """All matches with their score, best first: score, then how little a term is particular, bytes of the type, load order. No candidate is cut before ranking."""
     q.check()
-    return decls.where(P.matches(q)).withColumn("score", score(q)).orderBy(F.desc("score"), F.octet_length("type"), "id")
+    particular = [] if q.term is None else ["specifics"]
+    return matching(decls, q).withColumn("score", score(q)).orderBy(F.desc("score"), *particular, F.octet_length("type"), "id")
 
 
 def find(decls: DataFrame, q: Query) -> tuple[DataFrame, DataFrame]:
@@ -51,11 +59,11 @@ def find(decls: DataFrame, q: Query) -> tuple[DataFrame, DataFrame]:
 
 
 def count(decls: DataFrame, q: Query) -> DataFrame:
-    return decls.where(P.matches(q)).agg(F.count("*").alias("n"))
+    return matching(decls, q).agg(F.count("*").alias("n"))
 
 
 def exists(decls: DataFrame, q: Query) -> bool:
-    return not decls.where(P.matches(q)).limit(1).isEmpty()
+    return not matching(decls, q).limit(1).isEmpty()
 
 
 def conditions(q: Query) -> dict[str, Query]:
@@ -81,7 +89,7 @@ def conditions(q: Query) -> dict[str, Query]:
 def without(q: Query, part: str) -> Query:
     """q less one condition of conditions()."""
     if part == "shape":
-        return replace(q, concl=None, args=(), inside=())
+        return replace(q, concl=None, args=(), inside=(), term=None)
     for key in ("uses", "text"):
         if part.startswith(key):
             values = getattr(q, key)

@@ -53,6 +53,7 @@ class Query:
     inside: tuple[tuple[str, ...], ...] = ()  # uses written inside each argument
     uses: tuple[str, ...] = ()
     text: tuple[str, ...] = ()
+    term: str | None = None  # JSON of a term to unify with the row's
     module: str | None = None
     source: str | None = None
     kinds: tuple[str, ...] = ()
@@ -64,7 +65,7 @@ class Query:
 
     @property
     def needs_shape(self) -> bool:
-        return self.concl is not None or bool(self.args)
+        return self.concl is not None or bool(self.args) or self.term is not None
 
     @property
     def unfolds(self) -> bool:
