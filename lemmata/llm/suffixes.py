@@ -6,6 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """key, spans: array<struct<start, n, which>> of the strings of each row that also start earlier, as in substrings.repeated_windows.
 
     A sketch of anchors (_repeats.sketch) leaves out text that can't repeat. Runs of strings under equal anchors are grouped: of equal runs all
-    but the earliest are repeated throughout. Where an anchor has several different runs, one of each goes to a shard: shards are dealt by anchor, so equal
+    but the earliest are repeated throughout. Where an anchor has several different runs, one of each, cut from its text only then, goes to a shard: shards are dealt by anchor, so equal
     strings meet, and the shard's suffix array with its common prefixes says which strings start earlier. An anchor with very many runs is dealt over several shards;
     what each finds first is merged by hash.
     """
@@ -119,11 +120,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         bits = sent.value
         for batch in batches:
             for part in chunks(batch, "text"):
-                texts = Texts(part.column("text"))
-                runs = runs_of(texts, unit)
+                runs = runs_of(Texts(part.column("text")), unit)
                 keep = np.flatnonzero(estimated_repeated(runs.anchor, bits))
-                data = texts.data.tobytes()
-                ends = runs.place[keep] + runs.count[keep] + length - 1
                 own = pa.array(runs.text[keep])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -133,35 +131,48 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                         pa.array(runs.count[keep].astype(np.int32)),
                         pa.array(runs.anchor[keep].view(np.int64)),
                         pa.array(runs.run[keep].view(np.int64)),
-                        pa.array([data[a:b] for a, b in zip(runs.place[keep].tolist(), ends.tolist(), strict=True)], pa.binary()),
                     ],
-                    ["key", "doc_id", "start", "n", "anchor", "run", "stretch"],
+                    ["key", "doc_id", "start", "n", "anchor", "run"],
                 )
 
-    rows = materialize(
-        docs.transform(in_batches, of, "key bigint, doc_id bigint, start bigint, n int, anchor bigint, run bigint, stretch binary")
-    )
-    classes = materialize(
-        rows.groupBy("anchor", "run").agg(
-            F.min(F.struct("doc_id", "start")).alias("at"), F.first("n").alias("n"), F.first("stretch").alias("stretch"), F.count("*").alias("copies")
-        )
-    )
+    rows = materialize(docs.transform(in_batches, of, "key bigint, doc_id bigint, start bigint, n int, anchor bigint, run bigint"))
+    classes = rows.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "start", "key")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    classes = materialize(classes.select("anchor", "run", F.struct("first.doc_id", "first.start").alias("at"), F.col("first.key").alias("key"), "n", "copies"))
     several = materialize(
-        classes.groupBy("anchor").agg(F.count("*").alias("runs"), F.sum(F.length("stretch")).alias("bytes")).where("runs > 1")
+        classes.groupBy("anchor").agg(F.count("*").alias("runs"), F.sum(F.col("n") + (length - 1)).alias("bytes")).where("runs > 1")
     )
     total = several.agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    open_ = classes.join(several.select("anchor", "runs"), "anchor")
     parts = F.ceil(F.col("runs") / ANCHOR_ROWS)
-    open_ = open_.select(
-        F.pmod(F.xxhash64("anchor", F.pmod("run", parts)), F.lit(shards)).alias("shard"),
-        "anchor",
-        "run",
-        F.col("at.doc_id").alias("doc_id"),
-        F.col("at.start").alias("start"),
-        "n",
-        "stretch",
-        (parts > 1).alias("dealt"),
+    wanted = classes.join(several.select("anchor", "runs"), "anchor").select(
+        "key",
+        F.struct(
+            F.pmod(F.xxhash64("anchor", F.pmod("run", parts)), F.lit(shards)).alias("shard"),
+            "anchor",
+            "run",
+            "at.doc_id",
+            "at.start",
+            "n",
+            (parts > 1).alias("dealt"),
+        ).alias("run"),
+    )
+    wanted = wanted.groupBy("key").agg(F.collect_list("run").alias("runs"))
+
+    def cut(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                runs = part.column("runs")
+                at = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(runs)))])
+                values = pa.RecordBatch.from_struct_array(runs.flatten())
+                starts, n = values.column("start").to_pylist(), values.column("n").to_pylist()
+                stretches = []
+                for text, a, b in zip(part.column("text"), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                    data = text.as_py().encode()
+                    stretches += [data[starts[i] : starts[i] + n[i] + length - 1] for i in range(a, b)]
+                yield values.append_column("stretch", pa.array(stretches, pa.binary()))
+
+    open_ = docs.select("key", "text").join(wanted, "key").transform(
+        in_batches, cut, "shard bigint, anchor bigint, run bigint, doc_id bigint, start bigint, n int, dealt boolean, stretch binary"
     )
 
     def judge(table: pa.Table) -> pa.Table:
