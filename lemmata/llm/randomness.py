@@ -1,4 +1,4 @@
-"""Secret scans: fixed patterns, and tokens that a battery of randomness tests can't tell from chance."""
+"""Secret scans: fixed patterns, and tokens that a battery of randomness tests can't tell from chance and that are too odd for ordinary text."""
 
 from __future__ import annotations
 
@@ -18,11 +18,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Tokens that are tested.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: Lower ends of the lengths within which discoveries are counted, and thresholds that are tried.
+#: Lower ends of the lengths within which discoveries are counted.
 LENGTHS = (20, 24, 32, 48, 64, 128)
-THRESHOLDS = (0.001, 0.003, 0.01, 0.03, 0.1, 0.3, 0.5)
+#: Level of the battery: of random tokens about so many are lost to it.
+LEVEL = 1e-5
 #: Expected share of ordinary tokens among those found.
 FALSE_SHARE = 0.05
+#: -log2 of the chance under ordinary text counts up to here.
+MOST_BITS = 64
 
 _ORDER = {
     "hex": "0123456789abcdef",
@@ -93,6 +96,47 @@ def randomness(token: str) -> float:
     return _chi_tail(-2 * sum(map(math.log, p)), 6)
 
 
+#: Ordinary text: chances of a lower-case letter, an upper-case letter, a digit and a sign after each state, and letters by 1,000 (European languages).
+_NEXT = {
+    "start": (0.50, 0.30, 0.15, 0.05),
+    "lower": (0.86, 0.04, 0.03, 0.07),
+    "upper": (0.70, 0.20, 0.03, 0.07),
+    "caps": (0.05, 0.82, 0.05, 0.08),
+    "digit": (0.06, 0.05, 0.76, 0.13),
+    "sign": (0.50, 0.20, 0.20, 0.10),
+}
+_LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (78, 18, 33, 41, 132, 16, 21, 34, 76, 5, 13, 43, 27, 76, 66, 25, 4, 67, 69, 73, 38, 14, 12, 4, 12, 8), strict=True))
+
+
+def _text_bits() -> dict[str, tuple[dict[str, float], str]]:
+    """For each state and character: bits of the character there, and the next state (caps: at least two upper-case letters in a row)."""
+    out, all_ = {}, sum(_LETTERS.values())
+    for state, (lower, upper, digit, sign) in _NEXT.items():
+        at = {c: (-math.log2(lower * n / all_), "lower") for c, n in _LETTERS.items()}
+        at |= {c.upper(): (-math.log2(upper * n / all_), "caps" if state in ("upper", "caps") else "upper") for c, n in _LETTERS.items()}
+        at |= {c: (-math.log2(digit / 10), "digit") for c in "0123456789"}
+        out[state] = at | {c: (-math.log2(sign / 5), "sign") for c in "+/_=-"}
+    return out
+
+
+_TEXT_BITS = _text_bits()
+
+
+def oddness(token: str) -> int:
+    """-log2 of a bound on the chance that ordinary text looks as random as this, rounded down; 0 to MOST_BITS.
+
+    By Markov's inequality text reaches a likelihood ratio (random to text) of r with a chance of at most 1 / r. A random token has one of four alphabets (hex in either case, base32, base64).
+    """
+    if randomness(token) < LEVEL:
+        return 0
+    kind, text = encoding_of(token)
+    state, bits = "start", -2.0
+    for c in token.rstrip("="):
+        more, state = _TEXT_BITS[state][c]
+        bits += more
+    return max(0, min(MOST_BITS, math.floor(bits - len(token.rstrip("=")) * math.log2(len(_ORDER[kind])))))
+
+
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the fixed patterns, leftmost and without overlaps in each kind."""
     found = []
@@ -104,10 +148,10 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
-def tested_tokens(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, float]]:
-    """(start, end, randomness) of tokens that overlap no base span."""
+def tested_tokens(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, oddness) of tokens that overlap no base span."""
     return [
-        (m.start(), m.end(), randomness(m[0]))
+        (m.start(), m.end(), oddness(m[0]))
         for m in TOKEN.finditer(text)
         if not any(a < m.end() and m.start() < b for a, _, b in base)
     ]
@@ -118,25 +162,29 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 
 
 def tested_rows(docs: DataFrame) -> DataFrame:
-    """Base spans of each row, and its tested tokens that some threshold may let in; written once."""
+    """Base spans of each row, its tested tokens that some threshold may let in, and how many were tested in each range of lengths; written once."""
 
     def of(batches):
         for batch in batches:
-            base, counts, tested = [], [], []
+            base, counts, tested, sizes = [], [], [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 found = base_spans(text)
                 base.append([{"start": a, "kind": KINDS.index(k), "end": b} for a, k, b in found])
                 counts.append([sum(k == kind for _, k, _ in found) for kind in KINDS[:3]])
-                tested.append([{"start": a, "end": b, "p": p} for a, b, p in tested_tokens(text, found) if p >= THRESHOLDS[0]])
+                tokens = tested_tokens(text, found)
+                tested.append([{"start": a, "end": b, "bits": x} for a, b, x in tokens if x])
+                ranges = [stratum_of(b - a) for a, b, _ in tokens]
+                sizes.append([ranges.count(i) for i in range(len(LENGTHS))])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     *(pa.array([c[i] for c in counts], pa.int64()) for i in range(3)),
                     pa.array(base, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))),
-                    pa.array(tested, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())]))),
+                    pa.array(tested, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("bits", pa.int32())]))),
+                    pa.array(sizes, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_assign", "n_access", "n_hex", "base", "tested"],
+                ["doc_id", "n_assign", "n_access", "n_hex", "base", "tested", "sizes"],
             )
 
     return materialize(
@@ -144,29 +192,27 @@ def tested_rows(docs: DataFrame) -> DataFrame:
             in_batches,
             of,
             "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base array<struct<start:bigint,kind:int,end:bigint>>,"
-            " tested array<struct<start:bigint,end:bigint,p:double>>",
+            " tested array<struct<start:bigint,end:bigint,bits:int>>, sizes array<bigint>",
         )
     )
 
 
-def thresholds(rows: DataFrame) -> list[float]:
-    """For each range of lengths the lowest threshold whose estimated share of ordinary tokens is small enough; else the highest."""
-    tokens = rows.select(F.explode("tested").alias("t")).select((F.col("t.end") - F.col("t.start")).alias("n"), "t.p")
-    stratum = sum(((F.col("n") >= x).cast("int") for x in LENGTHS[1:]), F.lit(0))
-    seen = tokens.groupBy(stratum.alias("s")).agg(*(F.count_if(F.col("p") >= t).alias(f"t{i}") for i, t in enumerate(THRESHOLDS)))
-    limits = [THRESHOLDS[-1]] * len(LENGTHS)
-    for row in seen.collect():  # one row for each range of lengths
-        chance = 2 * row[f"t{len(THRESHOLDS) - 1}"]
-        for i, t in enumerate(THRESHOLDS):
-            above = row[f"t{i}"]
-            if above and (above - min(above, chance * (1 - t))) / above <= FALSE_SHARE:
-                limits[row["s"]] = t
-                break
-    return limits
+def stratum_of(n: int) -> int:
+    return sum(n >= x for x in LENGTHS[1:])
 
 
-def limit_of(n: int, limits: list[float]) -> float:
-    return limits[sum(n >= x for x in LENGTHS[1:])]
+def thresholds(rows: DataFrame) -> list[int]:
+    """For each range of lengths the least oddness at which the tokens found hold the share of ordinary ones (Benjamini and Hochberg, over whole bits)."""
+    sizes = rows.agg(*(F.sum(F.get("sizes", F.lit(i))) for i in range(len(LENGTHS)))).first()
+    tokens = rows.select(F.explode("tested").alias("t")).select((F.col("t.end") - F.col("t.start")).alias("n"), "t.bits")
+    stratum = sum(((F.col("n") >= x).cast("int") for x in LENGTHS[1:]), F.lit(0))
+    seen = [[0] * (MOST_BITS + 1) for _ in LENGTHS]
+    for row in tokens.groupBy(stratum.alias("s"), "bits").count().collect():  # MOST_BITS rows at most for each range of lengths
+        seen[row["s"]][row["bits"]] = row["count"]
+    return [
+        next((x for x in range(1, MOST_BITS + 1) if sum(found[x:]) and tested * 2.0**-x <= FALSE_SHARE * sum(found[x:])), MOST_BITS + 1)
+        for tested, found in zip(sizes, seen, strict=True)
+    ]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -175,9 +221,9 @@ def scan(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_assign, n_access, n_hex, n_random, base array<string> and spans array<struct<start, kind, end>> by start and kind; positions count characters and ends
     are exclusive. A null text is empty and has no spans. One row for each row; extra columns are not read.
 
-    Base spans come from fixed patterns. Further tokens of 20 characters and more are tested in their inferred encoding. Under the
-    hypothesis of a random token the combined p-value is even in 0..1, so twice the tokens above 0.5 estimates how many are random, and what lies above a threshold beyond that is ordinary text. For each range of
-    lengths, over all rows, the lowest threshold is taken at which ordinary tokens are at most FALSE_SHARE of those found.
+    Base spans come from fixed patterns. Further tokens of 20 characters and more are tested in their inferred encoding: those that the battery doesn't reject as random have a
+    chance of looking that random if they were ordinary text (oddness). For each range of lengths, over all rows, those with the least chances are taken as long as the expected share of ordinary tokens among
+    them is at most FALSE_SHARE. A token that is random enough is thus found on its own strength, whatever else the table has.
     """
     rows = tested_rows(docs)
     limits = thresholds(rows)
@@ -189,7 +235,7 @@ def scan(docs: DataFrame) -> DataFrame:
         return at.otherwise(F.lit(limits[-1]))
 
     more = F.transform(
-        F.filter("tested", lambda t: t["p"] >= limit(t["end"] - t["start"])),
+        F.filter("tested", lambda t: t["bits"] >= limit(t["end"] - t["start"])),
         lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")),
     )
     names = F.array(*map(F.lit, KINDS))
@@ -214,7 +260,7 @@ def without_secrets(docs: DataFrame) -> DataFrame:
         if text is None:
             return None
         base = base_spans(text)
-        spans = base + [(a, "random", b) for a, b, p in tested_tokens(text, base) if p >= limit_of(b - a, limits)]
+        spans = base + [(a, "random", b) for a, b, x in tested_tokens(text, base) if x >= limits[stratum_of(b - a)]]
         out, at = [], 0
         for a, kind, b in sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]))):
             if a >= at:

@@ -238,6 +238,26 @@ def test_secrets(spark, empty):
     assert randomness.scan(empty).count() == 0
 
 
+def test_isolated_secrets_are_found(spark):
+    """Whatever else the table has: alone in its range of lengths, or among many paths, slugs and class names."""
+    rng = random.Random(12)
+    blobs = ["".join(rng.choice(randomness._ORDER["base64"]) for _ in range(n)) for n in (33, 40, 44, 48, 56, 63) for _ in range(4)]
+    assert min(map(randomness.randomness, blobs)) < 0.2
+    parts = ["server", "Abstract", "Factory", "2024", "index", "user-guide", "HTTP", "config", "v2", "Bean", "news", "MAX_SIZE"]
+    ordinary = [rng.choice("/-_").join(rng.choice(parts) for _ in range(7)) for _ in range(600)]
+    for blob in blobs[::6]:
+        docs = spark.createDataFrame([(0, f"key is {blob} ok")], "doc_id bigint, text string")
+        assert list(randomness.scan(docs).first().spans) == [f"random:7:{7 + len(blob)}"]
+    rows = [(i, f"key is {blob} ok") for i, blob in enumerate(blobs)] + [(100 + i, f"see {t} there") for i, t in enumerate(ordinary)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: list(r.spans) for r in randomness.scan(docs).collect()}
+    assert found == {i: [f"random:7:{7 + len(blobs[i])}"] if i < 100 else [] for i in found} and len(found) == len(rows)
+    one = spark.createDataFrame(rows[3:4] + rows[len(blobs) :], "doc_id bigint, text string")
+    assert {r.doc_id for r in randomness.scan(one).collect() if r.n_random} == {3}
+    clean = {r.doc_id: r.text for r in randomness.without_secrets(one).collect()}
+    assert clean[3] == "key is [random] ok" and all(clean[d] == t for d, t in rows[len(blobs) :])
+
+
 def test_randomness_tells_words_from_chance():
     rng = random.Random(3)
     found = [randomness.randomness("".join(rng.choice(randomness._ORDER["base64"]) for _ in range(40))) for _ in range(300)]
