@@ -217,6 +217,19 @@ def test_mixing_without_labels_of_a_domain(spark):
     assert 400 < sum(r.copies for r in found) < 600
 
 
+def test_default_targets_reweigh(spark):
+    """Toxic words come down from an eighth to what the default targets want."""
+    rng = random.Random(4)
+    rows = [(i, prose(30, rng) + (" $$$ %%%" if i % 8 == 1 else "") + (" insult" if i % 8 == 0 else "")) for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 != 1), int(i % 8 == 0)) for i in range(0, 800, 3)], "doc_id bigint, quality int, toxic int")
+    found = mixing.mixed_rates(docs, labels).collect()
+    total = sum(r.words * r.rate for r in found)
+    assert sum(r.words for r in found if r.doc_id % 8 == 0) > 0.11 * sum(r.words for r in found)
+    assert sum(r.words * r.rate for r in found if r.doc_id % 8 == 0) < 0.03 * total
+    assert sum(share for domain, share in mixing.TARGETS.items() if domain.endswith("/1")) < 0.03
+
+
 def test_secrets(spark, empty):
     hexes = hashlib.md5(b"x").hexdigest()
     rng = random.Random(9)
