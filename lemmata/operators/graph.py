@@ -99,10 +99,14 @@ def topological(edges: list[tuple[str, str]], names: list[str]) -> list[str]:
 
 
 def unfolding_class(steps: DataFrame, name: str) -> list[str]:
-    """All names that are the same once unfolded: up to the root in at most UNFOLD_DEPTH steps (name -> unfolds), then all below it. steps are few: reducible definitions."""
+    """All names that are the same once unfolded: up to the root in at most UNFOLD_DEPTH steps (name -> unfolds), then all below it. Few steps (DRIVER_EDGES) are walked on the driver."""
+    steps = steps.select("name", "unfolds").where("name is not null and unfolds is not null")
+    few = steps.distinct().limit(DRIVER_EDGES + 1).collect()
+    if len(few) > DRIVER_EDGES:
+        return _unfolding_class(steps, name)
     up = {}
     down = defaultdict(set)
-    for a, b in steps.select("name", "unfolds").where("unfolds is not null").orderBy("name", "unfolds").limit(DRIVER_EDGES).collect():
+    for a, b in sorted(few):
         up.setdefault(a, b)
         down[b].add(a)
     root = name
@@ -115,3 +119,16 @@ def unfolding_class(steps: DataFrame, name: str) -> list[str]:
         now = {x for n in now for x in down[n]} - found
         found |= now
     return sorted(found | {name})
+
+
+def _unfolding_class(steps: DataFrame, name: str) -> list[str]:
+    """unfolding_class() of many steps: a lookup for each step up, and reach() down. The names of the one class go to the driver."""
+    root = name
+    for _ in range(UNFOLD_DEPTH):
+        to = steps.where(F.col("name") == F.lit(root)).agg(F.min("unfolds")).first()[0]
+        if to is None:
+            break
+        root = to
+    down = steps.select(F.col("unfolds").alias("src"), F.col("name").alias("dst"))
+    below = reach(down, steps.sparkSession.createDataFrame([(root,)], "node string"), depth=UNFOLD_DEPTH)
+    return sorted({r["node"] for r in below.select("node").collect()} | {name})

@@ -132,6 +132,17 @@ def test_unfolding(spark):
     assert graph.unfolding_class(steps, "alone") == ["alone"]
 
 
+def test_unfolding_of_many_steps(spark, monkeypatch):
+    """More steps than are walked on the driver give the same classes."""
+    pairs = [("Euclid", "Pi"), ("Pi", "With"), ("Other", "With"), ("a", "Zeta"), ("z", "Zeta"), ("l1", "l2"), ("l2", "l1"), ("two", "m"), ("two", "k"), (None, "With"), ("x", None)]
+    steps = spark.createDataFrame(pairs, "name string, unfolds string")
+    names = ("Euclid", "z", "l1", "two")
+    small = [graph.unfolding_class(steps, n) for n in names]
+    monkeypatch.setattr(graph, "DRIVER_EDGES", 3)
+    assert [graph.unfolding_class(steps, n) for n in names] == small
+    assert small == [["Euclid", "Other", "Pi", "With"], ["Zeta", "a", "z"], ["l1", "l2"], ["k", "two"]]
+
+
 def test_similar_is_exact(spark):
     sets = [(i, sorted({(i * j) % 13 for j in range(1, 2 + i % 6)})) for i in range(60)]
     df = spark.createDataFrame(sets, "id int, items array<int>")
