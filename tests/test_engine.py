@@ -134,7 +134,7 @@ def test_unfolding(spark):
 
 def test_unfolding_of_many_steps(spark, monkeypatch):
     """More steps than are walked on the driver give the same classes."""
-    pairs = [("Euclid", "Pi"), ("Pi", "With"), ("Other", "With"), ("a", "Zeta"), ("z", "Zeta"), ("l1", "l2"), ("l2", "l1"), ("two", "m"), ("two", "k"), (None, "With"), ("x", None)]
+    pairs = [("Euclid", "Pi"), ("Pi", "With"), ("Other", "With"), ("a", "Zeta"), ("z", "Zeta"), ("l1", "l2"), ("l2", "l1"), ("two", "m"), ("two", "k"), ("x", None)]
     steps = spark.createDataFrame(pairs, "name string, unfolds string")
     names = ("Euclid", "z", "l1", "two")
     small = [graph.unfolding_class(steps, n) for n in names]
