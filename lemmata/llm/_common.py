@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are worked on in pieces of about so many bytes, so that temporary arrays stay small.
@@ -21,10 +22,12 @@ _written: list[tuple[SparkSession, str]] = []
 def scratch(spark: SparkSession) -> str:
     """A new folder in the place that driver and executors share (spark.checkpoint.dir).
 
-    Where that is unset, as in tests on one machine, a temporary folder is set.
+    Where that is unset a temporary folder is set if all runs on one machine, as in tests; on a cluster this is an error, as executors wouldn't see each other's rows.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -73,32 +76,9 @@ _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class _Powers:
-    """powers(n): base**i and base**-i modulo 2**64 for i < n. What is held doesn't travel with functions."""
-
-    def __init__(self):
-        self.held = (np.ones(1, np.uint64), np.ones(1, np.uint64))
-
-    def __reduce__(self):
-        return _Powers, ()
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.held[0]) < n:
-            both = []
-            for base in (_BASE, _BASE_INVERSE):
-                x = np.full(1 << (n - 1).bit_length(), base)
-                x[0] = 1
-                both.append(np.multiply.accumulate(x))
-            self.held = tuple(both)
-        return self.held[0][:n], self.held[1][:n]
-
-
-powers = _Powers()
+#: Words up to so many bytes are hashed eight bytes at a time, all words at once.
+_SHORT = 64
+_KEEP = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,19 +88,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def prefix_hashes(values: np.ndarray) -> np.ndarray:
-    """h with one more entry than values; span(h, s, e) then hashes any stretch."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[starts:ends], by their bytes alone. Every eight bytes are mixed before the next ones come in, so no regular pattern cancels out."""
+    left = ends - starts
+    out = mix(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    open_ = np.flatnonzero(left <= _SHORT)
+    at = starts[open_]
+    left = left[open_]
+    while len(open_):
+        out[open_] = mix(out[open_] ^ (eight[at] & _KEEP[np.minimum(left, 8)]))
+        more = left > 8
+        open_, at, left = open_[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(ends - starts > _SHORT).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), 11)
     return out
 
 
-def span(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end], the same wherever the stretch lies."""
-    inverse = powers(len(h))[1]
-    return mix((h[end] - h[start]) * inverse[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 class Texts:
     """The UTF-8 bytes of some texts side by side: text i is data[at[i]:at[i + 1]]. Null is empty."""
 
@@ -152,8 +136,7 @@ class Texts:
         before[self.at[:-1][filled]] = False
         after[self.at[1:][filled] - 1] = False
         starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-        hashes = span(prefix_hashes(_BYTE[data]), starts, ends)
-        return starts, ends, hashes, np.searchsorted(starts, self.at)
+        return starts, ends, word_hashes(data, starts, ends), np.searchsorted(starts, self.at)
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES):

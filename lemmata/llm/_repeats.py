@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import _BYTE, Texts, chunks, in_batches, mix, powers, prefix_hashes
+from ._common import Texts, chunks, in_batches, mix
 
 #: Cells of each of the sketch's two rows; the merged sketch has a bit a cell: 32 MB in all, whatever the input. A fuller sketch
 #: lets more windows into the second pass and loses none.
@@ -21,13 +22,67 @@ HELD = 4_000_000
 _PLACE = 28
 
 
+#: Grams that anchor windows are hashed as polynomials modulo 2**64, which decides only where windows meet. Windows are hashed modulo this prime.
+_PRIME = (1 << 61) - 1
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class _Powers:
+    """powers(n): base**i and base**-i for i < n, by `times`. What is held doesn't travel with functions."""
+
+    def __init__(self, base: int, modulus: int):
+        self.base, self.modulus = base, modulus
+        self.held = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+
+    def __reduce__(self):
+        return _Powers, (self.base, self.modulus)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.held[0]) < n:
+            both = []
+            for base in (self.base, pow(self.base, -1, self.modulus)):
+                x = np.ones(1, np.uint64)
+                while len(x) < n:
+                    x = np.concatenate([x, self.times(x, np.uint64(pow(base, len(x), self.modulus)))])
+                both.append(x)
+            self.held = tuple(both)
+        return self.held[0][:n], self.held[1][:n]
+
+    def times(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        if self.modulus != _PRIME:
+            return a * b
+        low = np.uint64((1 << 31) - 1)
+        a1, a0, b1, b0 = a >> np.uint64(31), a & low, b >> np.uint64(31), b & low
+        middle = a1 * b0 + a0 * b1
+        return _reduced((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + a0 * b0)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Modulo 2**61 - 1."""
+    p = np.uint64(_PRIME)
+    x = (x & p) + (x >> np.uint64(61))
+    return np.where(x >= p, x - p, x)
+
+
+_gram_powers = _Powers(0x9E3779B97F4A7C15, 1 << 64)
+_window_powers = _Powers(0x1E3779B97F4A7C15, _PRIME)
+
+
+def _grams(symbols: np.ndarray, size: int) -> np.ndarray:
+    h = np.zeros(len(symbols) + 1, np.uint64)
+    power, inverse = _gram_powers(len(h))
+    np.cumsum(symbols * power[:-1], out=h[1:])
+    return mix((h[size:] - h[:-size]) * inverse[: len(h) - size])
+
+
 @dataclass
 class Unit:
-    """Windows of `length` symbols with anchors of `gram` symbols; symbols(texts) gives 64-bit symbols and each text's first one."""
+    """Windows of `length` symbols with anchors of `gram` symbols; symbols(texts) gives 64-bit symbols and each text's first one. raw: symbols are bytes."""
 
     length: int
     gram: int
     symbols: Callable[[Texts], tuple[np.ndarray, np.ndarray]]
+    raw: bool = False
 
 
 def word_symbols(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -50,23 +105,28 @@ class Runs:
     start: np.ndarray  # of the first window, in its text
     count: np.ndarray  # windows of the run
     anchor: np.ndarray
-    run: np.ndarray  # hash of all symbols that the run's windows cover
     place: np.ndarray  # of the first window, in the chunk
-    prefix: np.ndarray
+    symbols: np.ndarray  # of the chunk: bytes, or hashes of words
+
+    def covered(self, keep: np.ndarray, unit: Unit) -> np.ndarray:
+        """Hash of all that each kept run's windows cover."""
+        place = self.place[keep]
+        ends = place + self.count[keep] + unit.length - 1
+        whole = memoryview(np.ascontiguousarray(self.symbols))
+        return np.array([xxhash.xxh3_64_intdigest(whole[a:b], 5) for a, b in zip(place.tolist(), ends.tolist(), strict=True)], np.uint64)
 
 
 def runs_of(texts: Texts, unit: Unit) -> Runs:
     symbols, first = unit.symbols(texts)
-    prefix = prefix_hashes(symbols)
-    n, k, w = len(symbols), unit.gram, unit.length - unit.gram + 1
+    kept = texts.data if unit.raw else symbols
+    w = unit.length - unit.gram + 1
     size = np.diff(first)
     windows = np.maximum(size - unit.length + 1, 0)
     total = int(windows.sum())
     if not total:
         none = np.zeros(0, np.int64)
-        return Runs(none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, prefix)
-    inverse = powers(n + 1)[1]
-    grams = mix((prefix[k:] - prefix[:-k]) * inverse[: n - k + 1])
+        return Runs(none, none, none, none.astype(np.uint64), none, kept)
+    grams = _grams(symbols, unit.gram)
     m = (grams >> np.uint64(_PLACE) << np.uint64(_PLACE)) | (np.uint64((1 << _PLACE) - 1) - np.arange(len(grams), dtype=np.uint64))
     reach = 1
     while 2 * reach <= w:
@@ -82,18 +142,21 @@ def runs_of(texts: Texts, unit: Unit) -> Runs:
     at = np.flatnonzero(new)
     count = np.diff(np.concatenate([at, [total]]))
     place = place[at]
-    end = place + count + unit.length - 1
-    covered = mix((prefix[end] - prefix[place]) * inverse[place] + (count * 65537 + (chosen[at] - place)).astype(np.uint64))
-    return Runs(text[at], place - first[text[at]], count, grams[chosen[at]], covered, place, prefix)
+    return Runs(text[at], place - first[text[at]], count, grams[chosen[at]], place, kept)
 
 
 def window_hashes(runs: Runs, unit: Unit, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of the kept runs side by side, and where each run's begin."""
+    """Hashes of the windows of the kept runs side by side, and where each run's begin. They are polynomials modulo a prime, in which no pattern of words cancels out."""
     count = runs.count[keep]
     at = np.concatenate([[0], np.cumsum(count)])
     place = np.arange(at[-1]) - np.repeat(at[:-1] - runs.place[keep], count)
-    h = runs.prefix
-    return mix((h[place + unit.length] - h[place]) * powers(len(h))[1][place]), at
+    power, inverse = _window_powers(len(runs.symbols) + 1)
+    terms = _window_powers.times(_reduced(runs.symbols), power[:-1])
+    high, low = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (terms >> np.uint64(31), terms & np.uint64((1 << 31) - 1)))
+    h = _reduced(_window_powers.times(_reduced(high), np.uint64(1 << 31)) + _reduced(low))
+    end = place + unit.length
+    difference = _reduced(h[end] + (np.uint64(_PRIME) - h[place]))
+    return mix(_window_powers.times(difference, inverse[place])), at
 
 
 def _cells(anchor: np.ndarray) -> list[np.ndarray]:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Texts, chunks, in_batches, materialize, mix, prefix_hashes, span
+from ._common import Texts, chunks, in_batches, materialize, mix
 from ._graph import components
 
 #: Words of a shingle; documents are linked at 100 * intersection >= SIMILAR * union.
@@ -21,13 +21,20 @@ _TERMS = _rng.integers(0, 1 << 63, PERMUTATIONS).astype(np.uint64) * np.uint64(2
 
 
 def shingles(texts: Texts, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text side by side, and where each text's begin."""
+    """Sorted distinct shingle hashes of each text side by side, and where each text's begin. A shingle's hash mixes its words one after another."""
     _, _, words, first = texts.words(lower=True)
     m = np.diff(first)
     count = np.where(m >= size, m - size + 1, (m > 0).astype(m.dtype))
     at = np.concatenate([[0], np.cumsum(count)])
-    start = np.arange(at[-1]) - np.repeat(at[:-1] - first[:-1], count)
-    all_ = span(prefix_hashes(words), start, start + np.repeat(np.minimum(m, size), count))
+    all_ = np.empty(at[-1], np.uint64)
+    h = np.full(len(words), 0x8CB92BA72F3D8DD7, np.uint64)
+    for j in range(size):
+        h = mix(h[: max(len(words) - j, 0)] ^ words[j:])  # of words i .. i + j
+        if j + 1 < size:
+            few = np.flatnonzero(m == j + 1)
+            all_[at[few]] = h[first[few]]
+    full = np.repeat(m >= size, count)
+    all_[full] = h[(np.arange(at[-1]) - np.repeat(at[:-1] - first[:-1], count))[full]]
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         if b - a > 1:
             all_[a:b].sort()
@@ -159,7 +166,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) and kept of each row.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; shingles are runs of five words, or all words of a text with fewer. Texts without words, and null texts, have
-    empty sets and are linked with nothing; they are kept. Rows with one doc_id are one node. A null doc_id takes no part:
+    empty sets and are linked with nothing; they are kept. Rows with one doc_id are one node, so what their texts are linked with is one component. A null doc_id takes no part:
     its component is null and it is kept. Extra columns are not read.
 
     Equal sets form a class first, so copies cost one row each. Classes that share a band meet one of their bucket, the pivot: the class
@@ -171,11 +178,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = materialize(
         shingled.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
+    differ = (F.min("s1") != F.max("s1")) | (F.min("s2") != F.max("s2"))
+    again = materialize(shingled.groupBy("doc_id").agg(F.count("*").alias("times"), differ.alias("differ")).where("times > 1"))
+    several = shingled.join(again.where("differ"), "doc_id", "left_semi").select("doc_id", "s1", "s2").distinct()
+    own = materialize(several.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     banded = classes.select("rep", "n", F.explode("bands").alias("key"))
     shared = materialize(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     members = materialize(banded.join(shared, "key"))
     sets = full_sets(docs.join(members.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi"))
     sets = materialize(sets)
+    if not again.isEmpty():  # rows with one id: each of their sets once
+        twice = again.select(F.col("doc_id").alias("id"))
+        one = sets.join(twice, "id", "left_semi").groupBy("id", F.xxhash64("shingles").alias("h")).agg(F.first("shingles").alias("shingles"))
+        sets = materialize(sets.join(twice, "id", "left_anti").unionByName(one.drop("h")))
     weight = materialize(members.groupBy("rep").agg(F.sum("size").alias("weight")))
     left = materialize(members.join(weight, "rep").select("key", "rep", "n", "weight"))
     first = left.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", -F.col("rep"))).alias("pivot"))
@@ -183,7 +198,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     close = 100 * F.least("n", "pivot.n") >= SIMILAR * F.greatest("n", "pivot.n")
     ends = (F.greatest("rep", "pivot.rep").alias("a"), F.least("rep", "pivot.rep").alias("b"))
     met = left.join(first, "key").where(F.col("rep") != F.col("pivot.rep"))
-    links = materialize(confirmed(met.where(close).select(*ends).distinct(), sets))
+    links = materialize(confirmed(met.where(close).select(*ends).distinct(), sets).unionByName(own))
     found = components(links)
     node = found.select(F.col("node").alias("rep"), "component")
     left = met.select("key", "rep").join(node, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))

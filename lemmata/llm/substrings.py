@@ -12,6 +12,8 @@ from ._repeats import Unit, covered, estimated_repeated, keyed, runs_of, sketch,
 
 #: Words of a window, and of the grams that anchor it.
 WORDS, GRAM = 35, 18
+#: Runs that share an anchor are looked up in so many parts, as one anchor may have very many.
+PARTS = 8
 
 
 def repeated_windows(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> DataFrame:
@@ -20,7 +22,8 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> D
     start is the first window's first word, n counts windows, which lists those that repeat (null: all n).
 
     Pass one sketches the anchors of all windows (_repeats.sketch). Pass two groups exactly, and only runs of windows whose anchor the
-    sketch may have seen twice: equal runs first, so that copies cost a row each before the shuffle, then single windows of the runs that share an anchor with other runs.
+    sketch may have seen twice: equal runs first, so that copies cost a row each before the shuffle, then single windows of the runs that share an anchor with other runs. Equal windows are
+    those with equal hashes of both the anchor and the window.
     """
     unit = Unit(words, gram, word_symbols)
     docs = keyed(docs)
@@ -39,7 +42,7 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> D
                         pa.array(runs.start[keep].astype(np.int32)),
                         pa.array(runs.count[keep].astype(np.int32)),
                         pa.array(runs.anchor[keep].view(np.int64)),
-                        pa.array(runs.run[keep].view(np.int64)),
+                        pa.array(runs.covered(keep, unit).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(hashes.view(np.int64))),
                     ],
                     ["key", "start", "n", "anchor", "run", "windows"],
@@ -47,11 +50,12 @@ def repeated_windows(docs: DataFrame, words: int = WORDS, gram: int = GRAM) -> D
 
     rows = materialize(docs.transform(in_batches, of, "key bigint, start int, n int, anchor bigint, run bigint, windows array<bigint>"))
     classes = materialize(rows.groupBy("anchor", "run").agg(F.count("*").alias("copies"), F.first("windows").alias("windows")))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select("anchor")
-    open_ = classes.join(several, "anchor", "left_semi").select("anchor", "run", "copies", F.posexplode("windows").alias("i", "window"))
-    open_ = materialize(open_)
-    again = open_.groupBy("window").agg(F.sum("copies").alias("c")).where("c > 1").select("window")
-    which = open_.where("copies = 1").join(materialize(again), "window").groupBy("anchor", "run").agg(F.collect_list("i").alias("which"))
+    several = classes.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1")
+    several = several.select("anchor", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    dealt = classes.withColumn("part", F.pmod("run", F.lit(PARTS)).cast("int")).join(several, ["anchor", "part"], "left_semi")
+    open_ = materialize(dealt.select("anchor", "run", "copies", F.posexplode("windows").alias("i", "window")))
+    again = open_.groupBy("anchor", "window").agg(F.sum("copies").alias("c")).where("c > 1").select("anchor", "window")
+    which = open_.where("copies = 1").join(materialize(again), ["anchor", "window"]).groupBy("anchor", "run").agg(F.collect_list("i").alias("which"))
     whole = classes.where("copies > 1").select("anchor", "run", F.lit(None).cast("array<int>").alias("which"))
     repeated = materialize(whole.unionByName(which))
     found = rows.select("key", "start", "n", "anchor", "run").join(repeated, ["anchor", "run"])

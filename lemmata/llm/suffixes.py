@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -104,15 +102,38 @@ def earlier_in_shard(stretches: list[bytes], where: np.ndarray, windows: np.ndar
     return moment > least[of[place]]
 
 
+def _moments(ids: list[int | None], start: np.ndarray) -> np.ndarray:
+    """Places in the order of (doc_id, start), null ids first."""
+    rank = {d: i for i, d in enumerate(sorted(set(ids), key=lambda d: (d is not None, d or 0)))}
+    return np.array([rank[d] for d in ids], np.int64) * (1 << 40) + start
+
+
+def earlier_across(shard: np.ndarray, strings: np.ndarray, moment: np.ndarray) -> np.ndarray:
+    """Whether an equal string starts earlier in any shard. Each shard's sorted strings are merged into those of the shards before it by binary search."""
+    merged, least = np.zeros(0, strings.dtype), np.zeros(0, np.int64)
+    for one in np.unique(shard):
+        own = np.flatnonzero(shard == one)
+        own = own[np.argsort(strings[own], kind="stable")]
+        s, when = strings[own], moment[own]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        s, when = s[first], np.minimum.reduceat(when, first)
+        at = np.searchsorted(merged, s)
+        known = np.zeros(len(s), bool)
+        known[at < len(merged)] = merged[at[at < len(merged)]] == s[at < len(merged)]
+        least[at[known]] = np.minimum(least[at[known]], when[known])
+        merged, least = np.insert(merged, at[~known], s[~known]), np.insert(least, at[~known], when[~known])
+    return moment > least[np.searchsorted(merged, strings)]
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """key, spans: array<struct<start, n, which>> of the strings of each row that also start earlier, as in substrings.repeated_windows.
 
     A sketch of anchors (_repeats.sketch) leaves out text that can't repeat. Runs of strings under equal anchors are grouped: of equal runs all
     but the earliest are repeated throughout. Where an anchor has several different runs, one of each, cut from its text only then, goes to a shard: shards are dealt by anchor, so equal
     strings meet, and the shard's suffix array with its common prefixes says which strings start earlier. An anchor with very many runs is dealt over several shards;
-    what each finds first is merged by hash.
+    what each finds first is merged by binary search in their sorted strings (earlier_across), by parts of the strings so that no group grows with the anchor.
     """
-    unit = Unit(length, gram, byte_symbols)
+    unit = Unit(length, gram, byte_symbols, raw=True)
     docs = keyed(docs)
     sent = docs.sparkSession.sparkContext.broadcast(sketch(docs, unit))
 
@@ -123,6 +144,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 runs = runs_of(Texts(part.column("text")), unit)
                 keep = np.flatnonzero(estimated_repeated(runs.anchor, bits))
                 own = pa.array(runs.text[keep])
+                head = np.diff(runs.text[keep], prepend=-1) != 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("key").take(own),
@@ -130,12 +152,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                         pa.array(runs.start[keep]),
                         pa.array(runs.count[keep].astype(np.int32)),
                         pa.array(runs.anchor[keep].view(np.int64)),
-                        pa.array(runs.run[keep].view(np.int64)),
+                        pa.array(runs.covered(keep, unit).view(np.int64)),
+                        pa.array(head),
                     ],
-                    ["key", "doc_id", "start", "n", "anchor", "run"],
+                    ["key", "doc_id", "start", "n", "anchor", "run", "head"],
                 )
 
-    rows = materialize(docs.transform(in_batches, of, "key bigint, doc_id bigint, start bigint, n int, anchor bigint, run bigint"))
+    rows = materialize(docs.transform(in_batches, of, "key bigint, doc_id bigint, start bigint, n int, anchor bigint, run bigint, head boolean"))
     classes = rows.groupBy("anchor", "run").agg(F.min(F.struct("doc_id", "start", "key")).alias("first"), F.first("n").alias("n"), F.count("*").alias("copies"))
     classes = materialize(classes.select("anchor", "run", F.struct("first.doc_id", "first.start").alias("at"), F.col("first.key").alias("key"), "n", "copies"))
     several = materialize(
@@ -153,7 +176,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             "at.doc_id",
             "at.start",
             "n",
-            (parts > 1).alias("dealt"),
+            parts.cast("int").alias("parts"),
         ).alias("run"),
     )
     wanted = wanted.groupBy("key").agg(F.collect_list("run").alias("runs"))
@@ -171,45 +194,48 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                     stretches += [data[starts[i] : starts[i] + n[i] + length - 1] for i in range(a, b)]
                 yield values.append_column("stretch", pa.array(stretches, pa.binary()))
 
-    open_ = docs.select("key", "text").join(wanted, "key").transform(
-        in_batches, cut, "shard bigint, anchor bigint, run bigint, doc_id bigint, start bigint, n int, dealt boolean, stretch binary"
+    texts = docs.select("key", "text")
+    again = materialize(rows.where("head").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
+    if not again.isEmpty():  # of equal rows one is cut
+        texts = texts.join(again, "key", "left_anti").unionByName(texts.join(again, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")))
+    open_ = texts.join(wanted, "key").transform(
+        in_batches, cut, "shard bigint, anchor bigint, run bigint, doc_id bigint, start bigint, n int, parts int, stretch binary"
     )
 
     def judge(table: pa.Table) -> pa.Table:
         stretches = table.column("stretch").to_pylist()
-        ids = table.column("doc_id").to_pylist()
         start = np.asarray(table.column("start"))
         windows = np.asarray(table.column("n")).astype(np.int64)
-        rank = {d: i for i, d in enumerate(sorted(set(ids), key=lambda d: (d is not None, d or 0)))}
-        where = np.array([rank[d] for d in ids], np.int64) * (1 << 40) + start
+        where = _moments(table.column("doc_id").to_pylist(), start)
         earlier = earlier_in_shard(stretches, where, windows, length)
         at = np.concatenate([[0], np.cumsum(windows)])
         which, strings = [], []
-        for s, a, b, dealt in zip(stretches, at[:-1], at[1:], table.column("dealt").to_pylist(), strict=True):
+        for s, a, b, parts in zip(stretches, at[:-1], at[1:], table.column("parts").to_pylist(), strict=True):
             gone = np.flatnonzero(earlier[a:b])
             which.append(gone.astype(np.int32))
-            stay = np.flatnonzero(~earlier[a:b]) if dealt else []
-            strings.append([{"i": int(i), "h": hashlib.md5(s[i : i + length]).digest()} for i in stay])
-        return pa.table(
-            {
-                "anchor": table.column("anchor"),
-                "run": table.column("run"),
-                "doc_id": table.column("doc_id"),
-                "start": table.column("start"),
-                "which": pa.array(which, pa.list_(pa.int32())),
-                "strings": pa.array(strings, pa.list_(pa.struct([("i", pa.int32()), ("h", pa.binary())]))),
-            }
-        )
+            stay = np.flatnonzero(~earlier[a:b]).tolist() if parts > 1 else []
+            strings.append([{"i": i, "s": s[i : i + length]} for i in stay])
+        columns = [table.column(c) for c in ("shard", "anchor", "run", "doc_id", "start", "parts")]
+        columns += [pa.array(which, pa.list_(pa.int32())), pa.array(strings, pa.list_(pa.struct([("i", pa.int32()), ("s", pa.binary())])))]
+        return pa.table(columns, names=["shard", "anchor", "run", "doc_id", "start", "parts", "which", "strings"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        # numpy drops zero bytes at the end of a string, so each gets another byte there
+        strings = np.array([x + b"." for x in table.column("s").to_pylist()], f"S{length + 1}")
+        moment = _moments(table.column("doc_id").to_pylist(), np.asarray(table.column("start")))
+        late = earlier_across(np.asarray(table.column("shard")), strings, moment)
+        return table.select(["anchor", "run", "i"]).filter(pa.array(late))
 
     judged = materialize(
         open_.groupBy("shard").applyInArrow(
-            judge, "anchor bigint, run bigint, doc_id bigint, start bigint, which array<int>, strings array<struct<i:int,h:binary>>"
+            judge,
+            "shard bigint, anchor bigint, run bigint, doc_id bigint, start bigint, parts int, which array<int>, strings array<struct<i:int,s:binary>>",
         )
     )
-    dealt = judged.select("anchor", "run", "doc_id", "start", F.explode("strings").alias("s"))
-    dealt = dealt.select("anchor", "run", F.struct("doc_id", (F.col("start") + F.col("s.i")).alias("start")).alias("at"), F.col("s.i").alias("i"), F.col("s.h").alias("h"))
-    least = materialize(dealt.groupBy("h").agg(F.min("at").alias("least"), F.count("*").alias("c")).where("c > 1"))
-    late = dealt.join(least, "h").where("at > least").groupBy("anchor", "run").agg(F.collect_list("i").alias("more"))
+    dealt = judged.where("parts > 1").select("*", F.explode("strings").alias("x"))
+    dealt = dealt.select("shard", "anchor", "run", "doc_id", (F.col("start") + F.col("x.i")).alias("start"), "x.i", "x.s", F.pmod(F.xxhash64("x.s"), "parts").alias("part"))
+    late = dealt.groupBy("anchor", "part").applyInArrow(merge, "anchor bigint, run bigint, i int")
+    late = late.groupBy("anchor", "run").agg(F.collect_list("i").alias("more"))
     which = judged.select("anchor", "run", "which").join(late, ["anchor", "run"], "left")
     which = which.select("anchor", "run", F.concat("which", F.coalesce("more", F.array().cast("array<int>"))).alias("which"))
     found = classes.where("copies > 1").select("anchor", "run", "at").join(which, ["anchor", "run"], "full")
