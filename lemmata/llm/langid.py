@@ -14,8 +14,9 @@ from ._common import in_batches
 
 #: n-grams of one to ORDER characters fall into 2**BITS features.
 ORDER, BITS = 3, 15
-#: Bounds of the training sample: texts of each language, languages (the commonest), characters of a text. The classifier alone is fitted on it.
-TEXTS_EACH, LANGUAGES, TEXT_CHARS = 500, 64, 20_000
+#: Bounds of the training sample, on which the classifier alone is fitted: texts in all, texts of each language, characters of a text. Of many languages each has
+#: fewer texts; of a longer text a piece is taken, at a place chosen by a hash of its id.
+TEXTS, TEXTS_EACH, TEXT_CHARS = 20_000, 500, 8000
 #: FTRL-proximal: learning rate, its offset, elastic-net penalties, passes.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.02, 0.02, 3
 #: One in so many texts of the sample is kept for the temperature.
@@ -23,10 +24,15 @@ CALIBRATION = 6
 #: Texts with a lower score are rejected as of no known language.
 LEAST_SCORE = 0.4
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE = re.compile(r"[^\W\d_]")
 _FACTORS = (2654435761, 2246822519, 3266489917, 668265263, 374761393)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode's category L; numbers such as a half or a circled one are none."""
+    return any(m[0].isalpha() for m in _MAYBE.finditer(text))
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Features of a whole text, lower-cased, and 1 + log of their counts."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -61,7 +67,7 @@ class Model:
         return at, value / (np.sqrt((value**2).sum()) or 1)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not has_letter(text):
             return UNKNOWN, 0.0
         at, value = self.vector(text)
         p = softmax((value @ self.weights[at] + self.bias) / self.temperature)
@@ -80,14 +86,14 @@ def fit(texts: list[str], labels: list[str]) -> Model:
     size, n = 1 << BITS, max(1, len(languages))
     seen = np.zeros(size)
     raw = [features(t) for t in texts]
-    for at, _ in raw:
-        seen[at] += 1
-    model = Model(languages, np.log((1 + len(texts)) / (1 + seen)) + 1, np.zeros((size, n)), np.zeros(n), 1.0)
+    train = [i for i in range(len(texts)) if i % CALIBRATION]
+    for i in train:
+        seen[raw[i][0]] += 1
+    model = Model(languages, np.log((1 + len(train)) / (1 + seen)) + 1, np.zeros((size, n)), np.zeros(n), 1.0)
     vectors = []
     for at, value in raw:
         value = value * model.idf[at]
         vectors.append((at, value / (np.sqrt((value**2).sum()) or 1)))
-    train = [i for i in range(len(texts)) if i % CALIBRATION]
     model.weights, model.bias = ftrl([vectors[i] for i in train], [languages.index(labels[i]) for i in train], size, n)
     held = [i for i in range(len(texts)) if not i % CALIBRATION]
     scores = [(vectors[i][1] @ model.weights[vectors[i][0]] + model.bias, languages.index(labels[i])) for i in held]
@@ -130,23 +136,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame) -> Model:
-    """Fits on at most TEXTS_EACH texts of each of the LANGUAGES commonest languages, chosen by a hash of the id from texts with text, lang and id that aren't held out.
+    """Fits on at most TEXTS texts, and of each language TEXTS_EACH, chosen by a hash of the id from texts with text, lang and id that aren't held out.
 
-    A pass without texts counts the languages; a second reads the chosen rows, which go to the driver: a bounded sample.
+    A pass without texts counts the languages; a second reads the chosen rows, which go to the driver: a bounded sample. Every language has a text at least, unless there are more than TEXTS.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).where(F.col("lang") != UNKNOWN)
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(TEXTS).collect()
     if not counts:
         return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 1)), np.zeros(1), 1.0)
+    each = max(1, min(TEXTS_EACH, TEXTS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], int(min(1.0, (1.15 * each + 20) / r["count"]) * (1 << 30))) for r in counts], "known_lang string, share bigint")
     place = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1))
-    share = F.when(F.lit(False), 0)
-    for row in counts:
-        share = share.when(F.col("lang") == row["lang"], F.lit(int(min(1.0, 1.15 * TEXTS_EACH / row["count"]) * (1 << 30))))
-    chosen = known.where(place < share).where(F.col("text").rlike(r"\p{L}") & (F.length("text") <= TEXT_CHARS))
-    rows = chosen.select("lang", "text", F.xxhash64("doc_id", F.lit(1)).alias("h")).orderBy("h", "text").limit(TEXTS_EACH * LANGUAGES).toArrow()
+    chosen = known.select("doc_id", "lang", "text").where(F.col("text").rlike(r"\p{L}"))
+    chosen = chosen.join(F.broadcast(shares), F.col("lang") == F.col("known_lang")).where(place < F.col("share"))  # TEXTS rows at most
+    start = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(2)), F.greatest(F.length("text") - TEXT_CHARS, F.lit(0)) + 1)
+    chosen = chosen.select("lang", F.substring("text", start.cast("int"), F.lit(TEXT_CHARS)).alias("text"), F.xxhash64("doc_id", F.lit(1)).alias("h"))
+    rows = chosen.orderBy("h", "text").limit(2 * TEXTS).toArrow()
     texts, labels, had = [], [], {}
     for lang, text in zip(rows.column("lang").to_pylist(), rows.column("text").to_pylist(), strict=True):
-        if had.get(lang, 0) < TEXTS_EACH:
+        if had.get(lang, 0) < each:
             had[lang] = had.get(lang, 0) + 1
             texts.append(text)
             labels.append(lang)

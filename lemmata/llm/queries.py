@@ -17,7 +17,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Winnowed fingerprints of `documents`; the fingerprint columns are digests of the selected positions and hashes."""
     found = winnow.fingerprints(table(spark, sf_dir, "documents"))
-    digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
+    digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["position"], x["hash"])), ","), 256)
     return found.select(
         "doc_id",
         "n_chars",

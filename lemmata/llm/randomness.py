@@ -149,12 +149,15 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def tested_tokens(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int, int]]:
-    """(start, end, oddness) of tokens that overlap no base span."""
-    return [
-        (m.start(), m.end(), oddness(m[0]))
-        for m in TOKEN.finditer(text)
-        if not any(a < m.end() and m.start() < b for a, _, b in base)
-    ]
+    """(start, end, oddness) of tokens that overlap no base span. Both come in order, so each base span is passed once."""
+    out, ends, i = [], -1, 0
+    for m in TOKEN.finditer(text):
+        while i < len(base) and base[i][0] < m.end():
+            ends = max(ends, base[i][2])
+            i += 1
+        if ends <= m.start():
+            out.append((m.start(), m.end(), oddness(m[0])))
+    return out
 
 
 def joined(spans: list[tuple[int, str, int]]) -> str:
