@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, covertree, langid, minhash, mixing, randomness, substrings, suffixes, urls, winnow
 from ._common import table
+from .oracles import ORACLE_SQL as ORACLE_SQL
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,4 +102,3 @@ QUERIES = {
         op10_language_id,
     )
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -362,17 +362,33 @@ def test_top_k(spark):
     assert covertree.top_k(df.where("false"), df.where("false")).count() == 0
 
 
-def test_cover_tree_prunes():
+def test_cover_tree():
+    """Nesting, covering and separation of its levels; covering radii; and what is pruned on clustered vectors."""
     rng = np.random.default_rng(1)
-    points = np.concatenate([rng.normal(c * 100, 1, (500, 4)) for c in range(8)])
+    points = np.floor(256 * np.concatenate([rng.normal(c * 10, 0.2, (500, 4)) for c in range(8)]))
+    points[7] = points[300]
     tree, best = covertree.CoverTree(points), covertree.Best(50, 5)
+    real = tree.nodes[: len({*tree.nodes["centre"].tolist()})]  # those of rows at centres follow
+    at, level = points[real["centre"]], real["level"]
+    apart = np.sqrt(((at[:, None] - at[None]) ** 2).sum(axis=2))
+    for i in range(1, len(real)):
+        assert apart[i, real["up"][i]] <= 2.0 ** (level[i] + 1) and level[real["up"][i]] > level[i]
+        others = np.flatnonzero((level >= level[i]) & (np.arange(len(real)) != i))
+        assert (apart[i, others] > 2.0 ** level[i]).all()
+    assert sorted(tree.order.tolist()) == list(range(len(points))) and len(real) > 100
     for node, (lo, hi) in enumerate(tree.stretch):
         far = np.sqrt(((points[tree.order[lo:hi]] - tree.centre[node]) ** 2).sum(axis=1)).max()
         assert far <= tree.radius[node] + 1e-9
+        assert not tree.children[node] or sorted(x for c in tree.children[node] for x in range(*tree.stretch[c])) == list(range(lo, hi))
+    again = covertree.CoverTree.from_bytes(4, *tree.to_bytes())
+    assert (again.points == points[tree.order]).all() and again.stretch == tree.stretch and (again.centre == tree.centre).all()
     queries = covertree.CoverTree(points[-50:])
     scored = covertree.search(queries, np.arange(50), tree, np.arange(len(points)), best)
-    leaves = sum(not c for c in tree.children) * sum(not c for c in queries.children)
-    assert scored < leaves / 2
+    assert scored < 50 * len(points) / 4
+    score = points[-50:] @ points.T
+    score[np.arange(50), np.arange(50)] = -np.inf
+    assert (best.score == -np.sort(-score, axis=1)[:, :5]).all()
+    assert covertree.CoverTree(np.zeros((0, 4))).stretch == [] and covertree.CoverTree(np.ones((90, 2))).stretch == [(0, 90)]
 
 
 def spans_of(which):
