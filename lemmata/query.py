@@ -45,6 +45,18 @@ class Arg:
         return cls() if head == WILD else cls((head,), head)
 
 
+@dataclass(frozen=True, order=True)
+class Power:
+    """A term so many times, as a power (HPow.hPow) or as a product (HMul.hMul) of itself."""
+
+    exponent: int
+    head: str
+
+    @property
+    def respelled(self) -> Power:
+        return Power(self.exponent, "HMul.hMul" if self.head == "HPow.hPow" else "HPow.hPow")
+
+
 @dataclass(frozen=True)
 class Query:
     name: str | None = None
@@ -62,6 +74,8 @@ class Query:
     generated: bool = False
     implicit: bool = False
     limit: int = 10
+    powers: tuple[tuple[int, Power], ...] = ()  # which arguments a pattern writes as powers
+    pattern_uses: tuple[str, ...] = ()  # those of uses that a pattern brought
 
     @property
     def needs_shape(self) -> bool:
