@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BETWEEN = r"[^\p{IsAlphabetic}\p{N}]+"
+_ASKED = regex.compile(r"[^\p{Alphabetic}\p{N}]+")
+_LAST = r"(?:«[^»]*»|[^.«»])*$"
 
 
 def words(c: Column) -> Column:
@@ -16,8 +17,8 @@ def words(c: Column) -> Column:
 
 
 def asked_words(text: str) -> list[str]:
-    """The same of a constant. Letters are what Java's IsAlphabetic has, as far as Python tells them."""
-    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    """The same of a constant: letters (and marks that Unicode counts as alphabetic) and digits, by the same classes as in _BETWEEN."""
+    return [w for w in _ASKED.split(text.lower()) if w]
 
 
 def has_text(columns: list[Column], text: str) -> Column:
@@ -35,13 +36,14 @@ def has_text(columns: list[Column], text: str) -> Column:
 
 
 def base(name: Column) -> Column:
-    """Last component of a dotted name."""
-    return F.substring_index(name, ".", -1)
+    """Last component of a dotted name; dots in «quotes» don't count."""
+    return F.when(name.contains("«"), F.regexp_extract(name, _LAST, 0)).otherwise(F.substring_index(name, ".", -1))
 
 
 def namespace(name: Column) -> Column:
     """All components but the last; empty for a bare name."""
-    return F.regexp_extract(name, r"(?s)^(.*)\.[^.]*$", 1)
+    quoted = F.regexp_replace(name, r"\.?" + _LAST, "")
+    return F.when(name.contains("«"), quoted).otherwise(F.regexp_extract(name, r"(?s)^(.*)\.[^.]*$", 1))
 
 
 def summary(doc: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import base
+from ..functions.statements import abbreviated, prints_bare
 
 
 def by_source(decls: DataFrame) -> DataFrame:
@@ -22,9 +22,14 @@ def spread(decls: DataFrame, column: str) -> DataFrame:
 
 
 def heads_called(decls: DataFrame, word: str) -> DataFrame:
-    """Heads whose last component is the word: rows that have them (each once), commonest first, then the shorter name."""
+    """Heads that print as the word: rows that have them (each once), commonest first, then the shorter name.
+
+    The word is a head's last components, or leaves out components between the first ones and the base. Rows whose statement prints the word only after a dot, or binds it, say nothing of what it names;
+    heads that are the word itself count always.
+    """
     heads = F.array_distinct(F.concat(F.array("concl"), F.coalesce("concl_args", F.array().cast("array<string>"))))
-    each = decls.select(F.explode(heads).alias("head")).where(base(F.col("head")) == word)
+    each = decls.select(F.explode(heads).alias("head"), F.coalesce("type", F.lit("")).alias("type")).where(abbreviated(F.col("head"), word))
+    each = each.where((F.col("head") == word) | prints_bare(F.col("type"), word))
     return each.groupBy("head").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.octet_length("head"), "head")
 
 

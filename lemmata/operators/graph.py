@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Up to so many edges a single walk is made on the driver, as long chains would cost a job for each link.
@@ -15,22 +15,32 @@ DRIVER_EDGES = 200_000
 UNFOLD_DEPTH = 16
 
 
-def _written(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+#: Levels of a walk that are read as separate tables before they are written as one.
+COMPACT = 16
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new place in the folder that driver and executors share. On one machine, as in tests, a temporary one will do; on a cluster rows would be lost in it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def reach(edges: DataFrame, roots: DataFrame, stop: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """root, node, level (fewest steps) for everything reachable from each root over edges src, dst; the root itself at level 0.
 
     Nodes of `stop` (column node) are reached and not passed. All roots advance together: a level is one join of the newest nodes with the edges
-    and an anti-join with what is known, written so that lineage ends there. Cycles end as nothing new turns up.
+    and an anti-join with what is known, written so that lineage ends there. Levels are written together every COMPACT, so that a long walk's plan stays small. Cycles end as nothing new turns up.
     """
     now = _written(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("level", F.lit(0)))
     seen, level = now, 0
@@ -42,17 +52,23 @@ def reach(edges: DataFrame, roots: DataFrame, stop: DataFrame | None = None, dep
         if new.isEmpty():
             break
         seen, now = seen.unionByName(new), new
+        if level % COMPACT == 0:
+            seen = _written(seen)
     return seen
 
 
+def few_edges(edges: DataFrame) -> bool:
+    """Whether there are at most DRIVER_EDGES. Counted where they lie, and no further than that."""
+    return edges.select("src").limit(DRIVER_EDGES + 1).count() <= DRIVER_EDGES
+
+
 def reach_one(edges: DataFrame, root: str, stop: DataFrame | None = None, depth: int | None = None) -> DataFrame:
-    """reach() of one root. A small graph (DRIVER_EDGES) is walked on the driver."""
+    """reach() of one root. A graph of at most DRIVER_EDGES edges is walked on the driver, as a long chain would cost a job for each link; of a larger one nothing goes there."""
     spark = edges.sparkSession
-    few = edges.select("src", "dst").distinct().limit(DRIVER_EDGES + 1).collect()
-    if len(few) > DRIVER_EDGES:
+    if not few_edges(edges):
         return reach(edges, spark.createDataFrame([(root,)], "node string"), stop, depth)
     out = defaultdict(list)
-    for src, dst in few:
+    for src, dst in edges.select("src", "dst").distinct().collect():
         out[src].append(dst)
     level, now, n = {root: 0}, [root], 0
     stops = set()
@@ -66,6 +82,13 @@ def reach_one(edges: DataFrame, root: str, stop: DataFrame | None = None, depth:
     return spark.createDataFrame([(root, x, k) for x, k in level.items()], "root string, node string, level int")
 
 
+def import_closure(imports: DataFrame, roots: DataFrame) -> DataFrame:
+    """module, level: all that modules (column module) import, over imports (module, imported), themselves at level 0."""
+    edges = imports.select(F.col("module").alias("src"), F.col("imported").alias("dst"))
+    found = reach(edges, roots.select(F.col("module").alias("node")))
+    return found.groupBy("node").agg(F.min("level").alias("level")).withColumnRenamed("node", "module")
+
+
 def frontier(edges: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """What copying the roots takes: root, node, level and role, one of import, materialize and missing. nodes: node, module, importable.
 
@@ -101,9 +124,9 @@ def topological(edges: list[tuple[str, str]], names: list[str]) -> list[str]:
 def unfolding_class(steps: DataFrame, name: str) -> list[str]:
     """All names that are the same once unfolded: up to the root in at most UNFOLD_DEPTH steps (name -> unfolds), then all below it. Few steps (DRIVER_EDGES) are walked on the driver."""
     steps = steps.select("name", "unfolds").where("name is not null and unfolds is not null")
-    few = steps.distinct().limit(DRIVER_EDGES + 1).collect()
-    if len(few) > DRIVER_EDGES:
+    if not few_edges(steps.withColumnRenamed("name", "src")):
         return _unfolding_class(steps, name)
+    few = steps.distinct().collect()
     up = {}
     down = defaultdict(set)
     for a, b in sorted(few):

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..query import UBIQUITOUS
+
+#: Lines of the smallest bins in which spans meet.
+BIN = 16
+
 
 def lookup(decls: DataFrame, names: DataFrame) -> DataFrame:
     """One row for each of names (name, pos) that is there, in the order asked: elaborated rows first, then load order."""
@@ -17,14 +22,22 @@ def lookup(decls: DataFrame, names: DataFrame) -> DataFrame:
 def enclosing(spans: DataFrame) -> DataFrame:
     """For each row (name, source, module, line_start, line_end) the smallest row of its module that strictly contains it; ties by name.
 
-    The equality of module and source keeps this an equi-join; containment is its residual.
+    Spans are laid into bins of lines, from BIN lines on in powers of two: a span is in the bins of its own size class that it touches, two at most. A span that contains another is in a class at least
+    as high and touches the bin of the other's first line there, so a row meets, class by class, only spans that reach the lines around it and never its whole module.
     """
-    outer = spans.select(
-        "source", "module", F.col("name").alias("outer_name"), F.col("line_start").alias("a"), F.col("line_end").alias("b")
-    )
-    met = spans.join(outer, ["source", "module"]).where(
-        "a <= line_start and b >= line_end and (a < line_start or b > line_end)"
-    )
+    wide = F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))
+    level = F.greatest(F.ceil(F.log2(wide / F.lit(float(BIN)))), F.lit(0)).cast("int")
+    spans = spans.where("line_start is not null and line_end is not null")
+    own = spans.withColumn("level", level)
+    size = F.expr(f"{BIN} * shiftleft(1L, level)")
+    outer = own.select(
+        "source", "module", F.col("name").alias("outer_name"), F.col("line_start").alias("a"), F.col("line_end").alias("b"), "level",
+        F.explode(F.sequence(F.floor(F.col("line_start") / size), F.floor(F.col("line_end") / size))).alias("bin"),
+    )
+    classes = own.select("source", "module", "level").distinct().groupBy("source", "module").agg(F.array_sort(F.collect_set("level")).alias("levels"))
+    inner = own.join(classes, ["source", "module"]).select("source", "module", "name", "line_start", "line_end", F.explode(F.filter("levels", lambda x: x >= F.col("level"))).alias("level"))
+    inner = inner.withColumn("bin", F.floor(F.col("line_start") / size))
+    met = inner.join(outer, ["source", "module", "level", "bin"]).where("a <= line_start and b >= line_end and (a < line_start or b > line_end)")
     best = met.groupBy("source", "module", "name", "line_start", "line_end").agg(
         F.min(F.struct((F.col("b") - F.col("a")).alias("size"), "outer_name")).alias("m")
     )
@@ -63,19 +76,21 @@ def similar(sets: DataFrame, threshold: float, most: int | None = None) -> DataF
     """Pairs id, other, similarity of rows (id, items: distinct values) with a Jaccard similarity of threshold or more; of each row the `most` most similar.
 
     Exact: two such sets share an item among the first n - ceil(t n) + 1 of each in the order of rising frequency (prefix
-    filter), so only rare items are joined and common ones never meet.
+    filter), and what follows the first such item must be long enough for the rest (position filter), so only rare items are joined and common ones never meet.
     """
     items = sets.select("id", F.explode("items").alias("item"))
     often = items.groupBy("item").agg(F.count("*").alias("often"))
     ordered = items.join(often, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("o"))
     n = F.size("o")
     keep = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
-    probe = ordered.select("id", n.alias("n"), F.explode(F.slice("o", F.lit(1), keep)).alias("p")).select("id", "n", "p.item")
+    probe = ordered.select("id", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "p")).select("id", "n", (F.col("i") + 1).alias("at"), "p.item")
     left, right = probe.alias("l"), probe.alias("r")
+    longest = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) + 1  # what can be shared from here on
     pairs = (
         left.join(right, F.col("l.item") == F.col("r.item"))
         .where(F.col("l.id") < F.col("r.id"))
         .where(F.least("l.n", "r.n") >= F.lit(threshold) * F.greatest("l.n", "r.n") - 1e-9)
+        .where((1 + threshold) * longest >= threshold * (F.col("l.n") + F.col("r.n")) - 1e-9)
         .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
         .distinct()
     )
@@ -90,3 +105,28 @@ def similar(sets: DataFrame, threshold: float, most: int | None = None) -> DataF
         return each
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+
+
+def duplicates(scanned: DataFrame, decls: DataFrame, local: str, threshold: float, most: int = 5) -> DataFrame:
+    """name, other, module, similarity, rank: for each proposition (theorem or axiom) of scanned (name, kind, concl, deps) the most similar compiled rows of other sources.
+
+    A row that is declared already is taken as it is indexed. Candidates have its conclusion, where that is known, are without sorry, and mention its first three distinctive constants
+    (query.UBIQUITOUS says nothing); similarity is the constants' Jaccard coefficient. A statement without any distinctive constant has none.
+    """
+    best = F.max_by(F.struct("concl", "consts"), F.struct("elaborated", -F.col("id")))
+    known = decls.groupBy("name").agg(best.alias("k"))
+    own = scanned.where(F.col("kind").isin("theorem", "axiom")).join(known, "name", "left")
+    own = own.select("name", F.col("k.concl").alias("concl"), F.array_distinct(F.coalesce("k.consts", "deps")).alias("consts"))
+    anchors = F.slice(F.filter("consts", lambda c: ~c.isin(*UBIQUITOUS)), 1, 3)
+    own = own.withColumn("anchors", anchors).where(F.size("anchors") > 0)
+    rows = decls.where((F.col("source") != local) & F.col("elaborated") & ~F.col("sorry")).select(
+        F.col("id").alias("other_id"), F.col("name").alias("other"), "module", F.col("concl").alias("other_concl"), F.array_distinct("consts").alias("theirs")
+    )
+    mentions = rows.select("other_id", F.explode("theirs").alias("const"))
+    met = own.select("name", F.explode("anchors").alias("const"), F.size("anchors").alias("n")).join(mentions, "const")
+    pairs = met.groupBy("name", "n", "other_id").agg(F.count("*").alias("shared")).where("shared = n").select("name", "other_id")
+    met = pairs.join(own, "name").join(rows, "other_id").where("other <> name and (concl is null or concl = other_concl)")
+    both = F.size(F.array_intersect("consts", "theirs"))
+    met = met.withColumn("similarity", both / (F.size("consts") + F.size("theirs") - both)).where(F.col("similarity") >= threshold)
+    order = Window.partitionBy("name").orderBy(F.desc("similarity"), "other", "other_id")
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("name", "other", "module", "similarity", "rank")

@@ -5,16 +5,25 @@ A declaration is an order, part, page, document or user (sources/views.py). Oper
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..engine import Engine
+from ..functions import statements
 from ..functions.text import base, clipped, import_line, namespace, source_path, summary
-from ..operators import aggregates, find, graph, joins, store
+from ..operators import aggregates, find, graph, joins, looks, provenance, store
 from ..operators import predicates as P
+from ..operators.diagnose import Diagnosis
+from ..operators.powers import writes_powers
+from ..operators.terms import missing_term_sources, specifics
+from ..pattern import parse
 from ..query import Arg, Query
-from ..sources import views
+from ..sources import jsonl, scanner, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -381,11 +390,10 @@ def relocated(spark, sf_dir):
 
 
 @query(
-    """SELECT id, other, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT a.id, b.id AS other,
-  len(list_intersect(a.consts, b.consts)) / (len(a.consts) + len(b.consts) - len(list_intersect(a.consts, b.consts))) AS similarity,
-  row_number() OVER (PARTITION BY a.id ORDER BY len(list_intersect(a.consts, b.consts)) / (len(a.consts) + len(b.consts) - len(list_intersect(a.consts, b.consts))) DESC, b.id) AS rank
-  FROM orders_v a JOIN orders_v b ON a.id <> b.id AND (a.id, b.id) IN (SELECT x.l_orderkey, y.l_orderkey FROM lineitem x JOIN lineitem y USING (l_partkey))
-  WHERE len(list_intersect(a.consts, b.consts)) >= 0.5 * (len(a.consts) + len(b.consts) - len(list_intersect(a.consts, b.consts)))) WHERE rank <= 5""",
+    """, sets AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS item FROM lineitem), sizes AS (SELECT id, count(*) AS n FROM sets GROUP BY 1),
+  shared AS (SELECT a.id, b.id AS other, count(*) AS common FROM sets a JOIN sets b ON a.item = b.item AND a.id <> b.id GROUP BY 1, 2),
+  scored AS (SELECT s.id, other, common / (x.n + y.n - common) AS similarity FROM shared s JOIN sizes x ON s.id = x.id JOIN sizes y ON other = y.id WHERE common >= 0.5 * (x.n + y.n - common))
+  SELECT id, other, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS rank FROM scored) WHERE rank <= 5""",
     _ORDERS,
 )
 def dup_jaccard_top5(spark, sf_dir):
@@ -493,3 +501,344 @@ def provenance_status(spark, sf_dir):
     rev = F.concat(F.lit("r"), (F.max("id") % 3).cast("string")).alias("revision")
     was = o.where("kind = 'F'").groupBy("source").agg(F.count("*").alias("decls"), rev, F.when(F.max("id") % 2 == 0, F.lit(4)).alias("row_format"))
     return store.status(aggregates.by_source(o), was, o.groupBy("source").agg(rev))
+
+
+# ---------------------------------------------------------------- patterns and what follows from them
+
+
+def _as_rows(spark, columns: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, columns)
+
+
+@query("SELECT id FROM users_v WHERE heads[1] = 'view' AND len(heads) >= 2 AND (CASE WHEN id % 2 = 0 THEN heads[1] = 'view' AND heads[2] = 'click' ELSE len(list_filter(range(1, len(heads)), lambda o: heads[o] = 'view' AND heads[o + 1] = 'click')) > 0 END)", _USERS)
+def pattern_find(spark, sf_dir):
+    """2.11, find: a written pattern, prefix notation. The conclusion is `view`, its arguments `view` and `click`."""
+    q = parse("view view click").query
+    return find.matching(views.users(spark, sf_dir), replace(q, generated=True)).select("id")
+
+
+@query(
+    """SELECT * FROM (VALUES ('Real.exp _ ≤ Real.exp _', 'LE.le', 'Real.exp,Real.exp', '', 0), ('a ∈ s → s ∪ t = t', 'Eq', 'Union.union,_', 'Membership.mem', 1), ('¬ Nat.succ _ = 0', 'Not', 'Eq', 'Nat.succ', 0),
+  ('∀ x : Nat, x * (x + 1) = [x, x].sum', 'Eq', 'HMul.hMul,.sum', 'HAdd.hAdd,List.cons', 0), ('f <$> [] = ⟨0, p⟩', 'Eq', 'Functor.map,_', 'List.nil', 0), ('x ≍ (m...=n).toList', 'HEq', '_,_,_,.toList', 'Std.Rcc.mk', 0),
+  ('∃ n, n = 0', 'Exists', '', 'Eq', 0), ('List.Lex r [] (a :: l)', 'List.Lex', '_,List.nil,List.cons', '', 0), ('_ = if p then -1 else 2 ^ n', 'Eq', '_,ite', 'HPow.hPow,Neg.neg', 0)) AS t(pattern, concl, args, uses, hypotheses)"""
+)
+def pattern_parse_shapes(spark, sf_dir):
+    """2.11: what patterns are read as."""
+    asked = ("Real.exp _ ≤ Real.exp _", "a ∈ s → s ∪ t = t", "¬ Nat.succ _ = 0", "∀ x : Nat, x * (x + 1) = [x, x].sum", "f <$> [] = ⟨0, p⟩", "x ≍ (m...=n).toList", "∃ n, n = 0", "List.Lex r [] (a :: l)", "_ = if p then -1 else 2 ^ n")
+    rows = []
+    for text in asked:
+        r = parse(text)
+        rows.append((text, r.query.concl, ",".join(a.names[0] if a.names else "_" for a in r.query.args), ",".join(r.query.uses), r.hypotheses))
+    return _as_rows(spark, "pattern string, concl string, args string, uses string, hypotheses int", rows)
+
+
+@query(
+    """SELECT id FROM (SELECT id, heads, row_number() OVER () FROM users_v) WHERE heads[1] = 'view' AND len(heads) >= 3 AND (CASE WHEN id % 2 = 0 THEN heads[2] = 'error' AND heads[3] = 'signup'
+  ELSE len(list_filter(range(1, len(heads) - 1), lambda o: heads[o + 1] = 'error' AND heads[o + 2] = 'signup')) > 0 END)""",
+    _USERS,
+)
+def pattern_wildcards(spark, sf_dir):
+    """2.11: wildcards keep their places."""
+    q = parse("view _ error signup").query
+    return find.matching(views.users(spark, sf_dir), replace(q, generated=True)).select("id")
+
+
+_SIDES = """sides_v AS (SELECT o_orderkey AS id, 'Order.' || o_orderkey AS name, 'Eq' AS concl, [o_orderstatus, substr(o_orderpriority, 1, 1)] AS args FROM orders)"""
+
+
+def _sides(spark, sf_dir) -> DataFrame:
+    """Orders as equations between their status and their priority."""
+    o = views.table(spark, sf_dir, "orders")
+    args = F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1))
+    return views.as_decls(
+        o, id=F.col("o_orderkey"), name=F.concat(F.lit("Order."), "o_orderkey"), concl=F.lit("Eq"), concl_args=args, concl_explicit_args=args, consts=F.array_union(args, F.array(F.lit("Eq"))),
+        type=F.concat("o_orderstatus", F.lit(" = "), F.substring("o_orderpriority", 1, 1)),
+    )
+
+
+@query("SELECT id, true AS turned FROM sides_v WHERE args[1] = 'F' AND args[2] = '1'", _SIDES)
+def turned_or_written(spark, sf_dir):
+    """An equation written the other way round: the first look that finds anything is the turned one."""
+    q = Query(concl="Eq", args=(Arg.read("1"), Arg.read("F")), generated=True)
+    other = looks.turned(q)
+    found = find.first_look(_sides(spark, sf_dir), [q, other])
+    return found.select("id", (F.col("look") == 1).alias("turned"))
+
+
+_STATED = """stated_v AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'x' || p_size || ' * x' || p_size || ' = y' WHEN 1 THEN 'x' || p_size || ' ^ 2 = y' WHEN 2 THEN 'x * y = y ^ 3' WHEN 3 THEN 'a * (a * a) = b' ELSE 'a + a = b' END AS type FROM part)"""
+
+
+def _stated(spark, sf_dir) -> DataFrame:
+    """Parts as equations of which some write powers."""
+    p, x = views.table(spark, sf_dir, "part"), F.concat(F.lit("x"), F.col("p_size").cast("string"))
+    k = F.col("p_partkey") % 5
+    type_ = (
+        F.when(k == 0, F.concat(x, F.lit(" * "), x, F.lit(" = y"))).when(k == 1, F.concat(x, F.lit(" ^ 2 = y"))).when(k == 2, "x * y = y ^ 3").when(k == 3, "a * (a * a) = b").otherwise("a + a = b")
+    )
+    left = F.when(k == 1, "HPow.hPow").when(k == 4, "HAdd.hAdd").otherwise("HMul.hMul")
+    args = F.array(left, F.when(k == 2, "HPow.hPow").otherwise("_"))
+    return views.as_decls(p, id=F.col("p_partkey"), name=F.concat(F.lit("P."), "p_partkey"), concl=F.lit("Eq"), concl_args=args, concl_explicit_args=args, type=type_)
+
+
+@query("SELECT id, CASE id % 5 WHEN 0 THEN 'square' ELSE 'cube' END AS what FROM stated_v WHERE id % 5 IN (0, 3)", _STATED)
+def writes_power(spark, sf_dir):
+    """Statements that write a square, or a cube, as a product on the left."""
+    rows = _stated(spark, sf_dir)
+    each = [rows.where(writes_powers(parse(p).query)).select("id", F.lit(w).alias("what")) for p, w in (("a * a = _", "square"), ("a * a * a = _", "cube"))]
+    return each[0].unionByName(each[1])
+
+
+@query("SELECT id, 'HMul.hMul' AS traded FROM stated_v WHERE id % 5 = 1", _STATED)
+def power_retry(spark, sf_dir):
+    """A square written as a product, found where it is written as a power."""
+    (other, traded), *_ = looks.respelled(parse("a * a = _").query)
+    rows = find.ranked(_stated(spark, sf_dir), replace(other, generated=True)).where("writes")
+    return rows.select("id", F.lit(traded[0].head).alias("traded"))
+
+
+_TERMS = [
+    ("one", {"head": "Eq", "args": [{"head": "ofReal", "args": [{"literal": "1"}]}, {"literal": "1"}]}),
+    ("zero", {"head": "Eq", "args": [{"head": "ofReal", "args": [{"literal": "0"}]}, {"literal": "0"}]}),
+    ("free", {"head": "Eq", "args": [{"head": "ofReal", "args": [{"variable": 0}]}, {"variable": 1}]}),
+    ("same", {"head": "Eq", "args": [{"variable": 0}, {"variable": 0}]}),
+    ("half", {"head": "Eq", "args": [{"head": "f", "args": []}, {"head": "OfScientific.ofScientific", "args": [{"literal": "50"}, {"head": "Bool.true"}, {"literal": "2"}]}]}),
+    ("map", {"head": "Eq", "args": [{"head": "DFunLike.coe", "args": [{"head": "ofReal", "args": []}, {"variable": 0}]}, {"literal": "1"}]}),
+]
+
+
+@query("SELECT * FROM (VALUES ('ofReal _ = 1', 'one', 1), ('ofReal _ = 1', 'free', 0), ('ofReal _ = 1', 'map', 0), ('_ = 0.5', 'half', 1), ('_ = 0.5', 'free', 1), ('_ = 0.5', 'same', 0), ('_ = 0', 'zero', 1), ('_ = 0', 'free', 1), ('_ = 0', 'same', 0)) AS t(pattern, name, particular)")
+def term_unify(spark, sf_dir):
+    """Terms of patterns with numerals against terms of rows; how many wildcards met something particular."""
+    rows = _as_rows(spark, "name string, term string", [(name, json.dumps(t)) for name, t in _TERMS])
+    each = [rows.select(F.lit(p).alias("pattern"), "name", specifics(F.col("term"), parse(p).query.term).alias("particular")).where("particular is not null") for p in ("ofReal _ = 1", "_ = 0.5", "_ = 0")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+@query("SELECT source FROM (SELECT o_orderpriority AS source, bool_or(o_orderkey % 97 = 3) AS lacks FROM orders GROUP BY 1) WHERE lacks")
+def missing_terms(spark, sf_dir):
+    """Sources of which rows have a conclusion and no term."""
+    rows = _sides(spark, sf_dir).withColumn("source", F.lit(None).cast("string"))
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p"))
+    rows = rows.drop("source").join(o, "id").withColumnRenamed("p", "source").withColumn("term", F.when(F.col("id") % 97 != 3, "{}"))
+    return missing_term_sources(rows)
+
+
+_CAUSES = [
+    ("Barren", dict(uses=("part.none",), kinds=("F",))), ("Combination", dict(kinds=("P",), uses=("part.5", "part.6", "part.7", "part.8", "part.9"))), ("InScope", dict(source="5-LOW", name="Order.none")),
+    ("NotIndexed", dict(module="Elsewhere.A", kinds=("F",))), ("OnlyGenerated", dict(name="ctorIdx")), ("Plain", dict(name="nothing")),
+]
+
+
+@query(
+    """SELECT * FROM (VALUES ('Barren', '--uses part.none'), ('Combination', ''), ('NotIndexed', ''), ('OnlyGenerated', ''), ('Plain', '')) AS t(cause, conditions)
+  UNION ALL SELECT 'Barren' AS cause, '--name Order.none' AS conditions"""
+)
+def diagnosis_kind(spark, sf_dir):
+    """The named cause of a miss."""
+    made = views.as_decls(spark.range(1), id=F.col("id") - 1, name=F.lit("T.ctorIdx"))
+    rows = views.orders(spark, sf_dir)
+    rows = rows.unionByName(made)
+    diagnosis = Diagnosis(rows, missing_module=lambda m: "another package" if m.startswith("Elsewhere") else None)
+    found = [diagnosis.of(Query(**asked)) for _, asked in _CAUSES]
+    return _as_rows(spark, "cause string, conditions string", [(e.cause, ",".join(e.what.get("conditions", []))) for e in found])
+
+
+# ---------------------------------------------------------------- written indexes and provenance
+
+
+def _index(spark, sf_dir) -> store.Index:
+    """The orders, written as an index in the shared folder and read again."""
+    path = graph.scratch(spark)
+    store.write_index(views.orders(spark, sf_dir).withColumn("line_start", F.lit(None).cast("int")).withColumn("line_end", F.lit(None).cast("int")).withColumn("term", F.lit(None).cast("string")).withColumn("unfolds", F.lit(None).cast("string")), path)
+    return store.read_index(spark, path)
+
+
+@query("SELECT id, name FROM orders_v WHERE list_contains(consts, 'part.5') AND list_contains(consts, 'part.17') OR list_contains(consts, 'part.33')", _ORDERS)
+def index_uses(spark, sf_dir):
+    """Mentions looked up in the index's own table, by left semi joins."""
+    i = _index(spark, sf_dir)
+    both = find.matching(i.decls, Query(uses=("part.5", "part.17")), i.uses, i.tokens)
+    return _ids(both.unionByName(find.matching(i.decls, Query(uses=("part.33",)), i.uses, i.tokens))).distinct()
+
+
+@query("SELECT id, name FROM orders_v WHERE contains(' ' || replace(type, '-', '') || ' ', ' total 1') AND regexp_matches(type, '^total 1[0-9]*5$') AND false OR type = 'total 150000' OR name = 'Order.7'", _ORDERS)
+def index_words(spark, sf_dir):
+    """Words looked up in the index's own table, then tested as a phrase."""
+    i = _index(spark, sf_dir)
+    return _ids(find.matching(i.decls, Query(text=("total 150000",)), i.uses, i.tokens).unionByName(find.matching(i.decls, Query(text=("order 7",)), i.uses, i.tokens)))
+
+
+@query("SELECT o_orderpriority AS source, CAST(count(*) AS BIGINT) AS handed, CAST(count(DISTINCT o_custkey) AS BIGINT) AS kept, CAST(count(DISTINCT o_custkey) AS BIGINT) AS recorded FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
+def load_source(spark, sf_dir):
+    """K1 to K4, K6: a source loaded into an index, rows handed in and kept, and what is recorded of it."""
+    path = graph.scratch(spark)
+    rows = views.orders(spark, sf_dir).join(views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey"), "id")
+    rows = rows.withColumn("name", F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).withColumn("module", F.lit("m")).drop("o_custkey")
+    for c, t in (("line_start", "int"), ("line_end", "int"), ("term", "string"), ("unfolds", "string")):
+        rows = rows.withColumn(c, F.lit(None).cast(t))
+    got = [(s, *store.load(rows, path, s)) for s in ("1-URGENT", "5-LOW")]
+    recorded = store.read_index(spark, path).provenance.select("source", F.col("decls").alias("recorded"))
+    return _as_rows(spark, "source string, handed bigint, kept bigint", got).join(recorded, "source")
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'spelled ' || id WHEN id % 3 = 1 THEN 'old' END AS statement FROM orders_v", _ORDERS)
+def record_statements(spark, sf_dir):
+    """K5: statements by key; rows without a new one keep theirs."""
+    o = views.orders(spark, sf_dir).withColumn("statement", F.when(F.col("id") % 3 == 1, "old"))
+    spelled = o.where("id % 3 = 0").select("name", "source", "module", F.concat(F.lit("spelled "), F.col("id").cast("string")).alias("statement"))
+    return store.with_statements(o, spelled).select("id", "statement")
+
+
+@query("SELECT source, module, name, CASE WHEN id % 10 = 0 THEN 'new' WHEN id % 10 = 1 THEN 'moved' ELSE 'restated' END AS why FROM orders_v WHERE id % 10 IN (0, 1, 2)", _ORDERS)
+def behind_build(spark, sf_dir):
+    """V7: what a build has and an index has not, or has elsewhere, or otherwise."""
+    lines = lambda df: df.withColumn("line_start", F.lit(1)).withColumn("line_end", F.lit(2))
+    now, old = _two_states(spark, sf_dir)
+    return provenance.behind(lines(now), lines(old))
+
+
+@query("SELECT source, count(DISTINCT module) AS files, count(*) AS declaring FROM orders_v WHERE id % 10 IN (0, 1, 2) GROUP BY 1", _ORDERS)
+def ahead_counts(spark, sf_dir):
+    """How many files are ahead, and how many declarations."""
+    lines = lambda df: df.withColumn("line_start", F.lit(1)).withColumn("line_end", F.lit(2))
+    now, old = _two_states(spark, sf_dir)
+    return provenance.ahead(lines(now), lines(old))
+
+
+@query("SELECT id FROM orders_v WHERE contains(lower(name), '1') AND (module = 'Sales.1995.03' OR starts_with(module, 'Sales.1995.03.')) AND regexp_matches(type, '^total [0-9]*$')", _ORDERS)
+def declared_matching(spark, sf_dir):
+    """V8: what files declare, by name, module and words alone."""
+    d = views.orders(spark, sf_dir).withColumn("statement", F.col("type"))
+    return provenance.declared_matching(d, "1", "Sales.1995.03", ("total",)).select("id")
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_regionkey <> 1")
+def unclaimed_packages(spark, sf_dir):
+    """Packages whose path no source has, however it is spelled."""
+    n = views.table(spark, sf_dir, "nation")
+    path = F.concat(F.lit("/p/"), F.col("n_regionkey").cast("string"))
+    packages = n.select(F.col("n_name").alias("name"), F.concat(path, F.lit("/./")).alias("path"))
+    return provenance.unclaimed(packages, n.where("n_regionkey = 1").select(path.alias("path"))).select("name")
+
+
+@query("SELECT r AS source, CASE WHEN r % 3 = 0 THEN 'moved' ELSE 'outdated' END AS why FROM (SELECT r_regionkey AS r FROM region) WHERE r % 3 = 0 OR r = 4")
+def stale_sources(spark, sf_dir):
+    """V1, V2, V3, V9: sources that are behind, and why."""
+    r = views.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("source"))
+    was = r.withColumn("revision", F.lit("a")).withColumn("row_format", F.when(F.col("source") != 4, 4))
+    now = r.withColumn("revision", F.when(F.col("source") % 3 == 0, "b").otherwise("a"))
+    return provenance.stale_among(was, now).select("source", "why")
+
+
+# ---------------------------------------------------------------- more of the graph, and reading
+
+
+@query(""", walk AS (SELECT 'order:7' AS node, 0 AS level UNION SELECT dst, level + 1 FROM walk JOIN edges_v ON src = node WHERE level < 20)
+  SELECT node AS module, CAST(min(level) AS INTEGER) AS level FROM walk GROUP BY 1""", _EDGES)
+def import_closure(spark, sf_dir):
+    """Modules reached over imports."""
+    e = views.edges(spark, sf_dir).select(F.col("src").alias("module"), F.col("dst").alias("imported"))
+    return graph.import_closure(e, spark.createDataFrame([("order:7",)], "module string"))
+
+
+@query(
+    """, walk AS (SELECT 'order:7' AS node UNION SELECT dst FROM walk JOIN edges_v ON src = node)
+  SELECT split_part(node, ':', 1) AS source, count(*) AS n, count(*) FILTER (split_part(node, ':', 1) = 'customer') AS theorems FROM walk WHERE node <> 'order:7' AND NOT starts_with(node, 'part:') GROUP BY 1
+  UNION ALL SELECT NULL, count(*), 0 FROM walk WHERE starts_with(node, 'part:') HAVING count(*) > 0""",
+    _EDGES,
+)
+def closure_by_source(spark, sf_dir):
+    """A closure's size by source, theorems among it, and names that aren't there."""
+    kind = F.substring_index("node", ":", 1)
+    deps = views.edges(spark, sf_dir).groupBy("src").agg(F.collect_set("dst").alias("deps"))
+    rows = views.nodes(spark, sf_dir).join(deps, F.col("node") == F.col("src"), "left")
+    rows = views.as_decls(rows, id=F.xxhash64("node"), name=F.col("node"), source=kind, module=F.col("module"), kind=F.when(kind == "customer", "theorem").otherwise("def"), deps=F.coalesce("deps", F.array().cast("array<string>")))
+    return Engine(rows.withColumn("line_start", F.lit(None).cast("int")).withColumn("line_end", F.lit(None).cast("int"))).closure("order:7")
+
+
+@query("SELECT * FROM (VALUES (1, 'd'), (2, 'c'), (3, 'b'), (4, 'a')) AS t(place, name)")
+def topological_order(spark, sf_dir):
+    """Dependencies first."""
+    order = graph.topological([("a", "b"), ("b", "c"), ("c", "d"), ("a", "d")], ["a", "b", "c", "d"])
+    return _as_rows(spark, "place int, name string", [(i + 1, n) for i, n in enumerate(order)])
+
+
+@query("SELECT 'F.t' || p_partkey AS name, 'theorem' AS kind, ': Nat.succ n = Part.p' || p_size AS type, p_partkey % 2 = 0 AS sorry, 4 AS line_start, 5 AS line_end, 'A part.' AS doc FROM part")
+def scan_texts(spark, sf_dir):
+    """scan, S9, 2.17: declarations read from source text."""
+    p = views.table(spark, sf_dir, "part")
+    n = lambda c: F.col(c).cast("string")
+    body = F.when(F.col("p_partkey") % 2 == 0, "sorry").otherwise("rfl -- sorry")
+    text = F.concat(
+        F.lit("/- theorem ghost : x := sorry -/\nnamespace F\n/-- A part. -/\ntheorem t"), n("p_partkey"), F.lit(" : Nat.succ n = Part.p"), n("p_size"), F.lit(" := by\n  "), body, F.lit("\n\nend F\n")
+    )
+    files = p.select(F.lit("s").alias("source"), F.concat(F.lit("M"), n("p_partkey")).alias("module"), text.alias("text"))
+    return scanner.declarations(files).select("name", "kind", "type", "sorry", "line_start", "line_end", "doc")
+
+
+@query("SELECT 't' || p_partkey AS name, CASE WHEN p_size % 2 = 0 AND p_partkey <> 2 THEN 't2' ELSE '' END AS deps FROM part")
+def resolved_identifiers(spark, sf_dir):
+    """Identifiers of scanned text that are declared, less a row's own name."""
+    p = views.table(spark, sf_dir, "part")
+    consts = F.array(F.when(F.col("p_size") % 2 == 0, "t2").otherwise("Unknown.name"), F.lit("Other.x"))
+    rows = p.select(F.lit("s").alias("source"), F.lit("m").alias("module"), F.concat(F.lit("t"), F.col("p_partkey").cast("string")).alias("name"), F.lit(1).alias("line_start"), consts.alias("consts"))
+    return scanner.resolve(rows, rows.select("name")).select("name", F.array_join("deps", ",").alias("deps"))
+
+
+@query("SELECT 'P.' || p_partkey AS name, CAST(p_size AS INTEGER) AS line_start, p_partkey % 3 = 0 AS sorry, 'theorem' AS kind, '{\"head\":\"f\"}' AS term, row_number() OVER (ORDER BY p_partkey) AS place FROM part")
+def jsonl_round_trip(spark, sf_dir):
+    """Rows written as JSON lines and read again, in the lines' order."""
+    path = graph.scratch(spark)
+    p = views.table(spark, sf_dir, "part")
+    rows = p.select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("P."), F.col("p_partkey").cast("string")).alias("name"), F.lit("s").alias("source"), F.lit("m").alias("module"), F.lit("lemma").alias("kind"), F.lit("t").alias("type"),
+        F.col("p_size").alias("line_start"), F.col("p_size").alias("line_end"), (F.col("p_partkey") % 3 == 0).alias("sorry"), F.lit(True).alias("elaborated"), F.from_json(F.lit('{"head":"f"}'), "head string").alias("term"),
+    )
+    jsonl.write(rows.repartitionByRange(4, "id").sortWithinPartitions("id"), path)
+    back = jsonl.read(spark, path)
+    return back.withColumn("place", F.row_number().over(Window.orderBy("id")).cast("bigint")).select("name", "line_start", "sorry", "kind", "term", "place")
+
+
+@query("SELECT o_orderkey AS id, list_contains(['ctorIdx', 'elim'], x) OR x = 'brecOn' AS generated FROM (SELECT o_orderkey, ['ctorIdx', 'elim', 'plain', 'brecOn'][1 + o_orderkey % 4] AS x FROM orders)")
+def generated_names(spark, sf_dir):
+    """names that a compiler makes up."""
+    k = F.col("o_orderkey") % 4
+    name = F.when(k == 0, "T.ctorIdx").when(k == 1, "T.elim").when(k == 2, "T.plain").otherwise("T.brecOn.go")
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), name.alias("name"), F.when(k == 1, "h : ctorIdx = 1").otherwise("t").alias("type"))
+    return o.select("id", P.generated(F.col("name"), F.col("type")).alias("generated"))
+
+
+@query("SELECT p_partkey AS id, 'x' || p_size || ' = y' AS says, CAST(2 AS INTEGER) AS arity, true AS bare FROM part")
+def printed_statements(spark, sf_dir):
+    """A statement without inferred binders, its explicit arity, and a word that it prints bare."""
+    p = views.table(spark, sf_dir, "part")
+    text = F.concat(F.lit("∀ {α : Type} [inst : Ring α], x"), F.col("p_size").cast("string"), F.lit(" = y"))
+    said = F.udf(statements.says, "string")
+    arity = F.udf(statements.explicit_arity, "int")
+    return p.select(
+        F.col("p_partkey").alias("id"), said(text).alias("says"), arity(F.concat(F.lit("∀ {α : Type} (a : α), List "), F.col("p_name"), F.lit(" → Nat"))).alias("arity"), statements.prints_bare(text, "y").alias("bare")
+    )
+
+
+@query("SELECT a.o_orderkey AS id, string_agg('line ' || i, ',' ORDER BY i) AS lines FROM orders a, range(1, 21) t(i) WHERE i BETWEEN 1 + a.o_orderkey % 5 AND 3 + a.o_orderkey % 18 AND 1 + a.o_orderkey % 5 <= 3 + a.o_orderkey % 18 GROUP BY 1")
+def span_lines(spark, sf_dir):
+    """Lines of a span."""
+    text = F.lit("\n".join(f"line {i}" for i in range(1, 21)))
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("a"), (F.col("o_orderkey") % 18 + 3).cast("int").alias("b"))
+    lines = statements.lines_of(text, F.col("a"), F.col("b"))
+    return o.where("a <= b").select("id", F.replace(lines, F.lit("\n"), F.lit(",")).alias("lines"))
+
+
+@query(
+    """SELECT x.name, o.name AS other, round(len(list_intersect(x.consts, o.consts)) / (len(x.consts) + len(o.consts) - len(list_intersect(x.consts, o.consts))), 6) AS similarity
+  FROM (SELECT id, name, consts FROM orders_v WHERE id % 50 = 0) x JOIN (SELECT * FROM orders_v WHERE source <> '5-LOW' AND NOT sorry) o ON o.name <> x.name
+  AND len(list_filter(x.consts[1:3], lambda c: NOT list_contains(o.consts, c))) = 0
+  WHERE len(list_intersect(x.consts, o.consts)) >= 0.3 * (len(x.consts) + len(o.consts) - len(list_intersect(x.consts, o.consts)))
+  QUALIFY row_number() OVER (PARTITION BY x.name ORDER BY len(list_intersect(x.consts, o.consts)) / (len(x.consts) + len(o.consts) - len(list_intersect(x.consts, o.consts))) DESC, o.name) <= 5""",
+    _ORDERS,
+)
+def dup_candidates(spark, sf_dir):
+    """dup, J13: rows of other sources that mention a statement's first distinctive constants, by similarity."""
+    o = views.orders(spark, sf_dir)
+    mine = o.where("id % 50 = 0").select("name", F.lit("theorem").alias("kind"), "concl", F.col("consts").alias("deps"))
+    return joins.duplicates(mine, o, "5-LOW", 0.3).select("name", "other", F.round("similarity", 6).alias("similarity"))

@@ -9,6 +9,12 @@ WILD = "_"
 #: Conclusions that are also kept under another head, one way.
 ALSO_KEYED = {"HasSubset.Subset": "LE.le", "HasSSubset.SSubset": "LT.lt"}
 
+#: Constants that most statements mention, so that they say nothing of what one is about.
+UBIQUITOUS = (
+    "Eq", "Iff", "And", "Or", "Not", "LE.le", "LT.lt", "Membership.mem", "HAdd.hAdd", "HMul.hMul", "HSub.hSub", "HDiv.hDiv", "OfNat.ofNat", "Zero.zero", "One.one", "Nat", "Prop", "Type", "Sort",
+    "Exists", "Set", "Subtype", "Function.comp", "True", "False", "trivial",
+)
+
 
 @dataclass(frozen=True)
 class NameQuery:

@@ -16,9 +16,22 @@ _WIRE = (
 NEEDED = ("name", "source", "module", "kind", "type", "elaborated")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the files; blank and malformed lines are skipped. `term` stays JSON text. id follows the files' names and the lines' order."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("id"))
+#: Bits of an id that count lines within a split of a file; those above count splits.
+_LINES = 33
+
+
+def _numbered(spark: SparkSession, path: str, after: int) -> DataFrame:
+    """value, id: lines by the files' names, then by their order. Spark deals files out by size, so an id is put together from a split's place in that order (one row a split goes to the driver) and a line's place in its task."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    splits = sorted(tuple(r) for r in lines.select("file", "block").distinct().collect())
+    places = spark.createDataFrame([(*s, i) for i, s in enumerate(splits)], "file string, block bigint, place bigint")
+    met = lines.join(F.broadcast(places), ["file", "block"])
+    return met.select("value", (F.shiftleft("place", _LINES) + F.col("at").bitwiseAND(F.lit((1 << _LINES) - 1)) + F.lit(after + 1)).alias("id"))
+
+
+def read(spark: SparkSession, path: str, after: int = -1) -> DataFrame:
+    """Rows of the files; blank and malformed lines are skipped. `term` stays JSON text. ids follow the files' names and the lines' order, all above `after`, so that a later load's rows are the later ones."""
+    lines = _numbered(spark, path, after)
     row = F.from_json("value", _WIRE, {"mode": "PERMISSIVE"})
     rows = lines.select("id", row.alias("r"), F.get_json_object("value", "$.term").alias("term"))
     rows = rows.where(" and ".join(f"r.{c} is not null" for c in NEEDED))
