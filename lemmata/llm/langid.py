@@ -183,7 +183,10 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a language that was learned: not `und`, and scored LEAST_SCORE or more. Rows don't move."""
+    """The rows of docs, with all their columns, whose text is in a language that was learned: not `und`, and scored LEAST_SCORE or more. Rows don't move.
+
+    Null and empty texts, and those without a letter, go; so do all if nothing could be learned. Repeated rows stay as often as they are there, null ids are ids like others.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs).__dict__)
 
     def of(batches):

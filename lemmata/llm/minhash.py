@@ -173,6 +173,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     that shares most bands with others, as the text has that the others were made from. Links are confirmed on full sets. Members of
     buckets that are not all in one component by then are compared by an exact prefix join (prefix_pairs), so no candidate is dropped.
     """
+    docs = docs.select("doc_id", "text")
     rows = materialize(signatures(docs))
     shingled = rows.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(
@@ -216,6 +217,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, with all their columns."""
-    dropped = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    """The rows of docs that near_duplicates keeps, with all their columns, whatever their names. Rows with a kept id stay as often as they are there; a null id stays."""
+    dropped = near_duplicates(docs).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -91,7 +92,7 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGE
     pull towards 1. A step needs only the domains' totals at the present rates, one row of sums from each task; rates are not stored, as each task works them out
     from the steps so far. Errors are weighed by 1 / wanted total, so that small domains count and a domain that posteriors hardly show doesn't outweigh the others. Steps are
     accelerated (Nesterov) and scaled by the largest eigenvalue of the domains' moments. A domain without labelled rows can't be told: its posteriors are 0, and the
-    others' targets are scaled up to all words.
+    others' targets are scaled up to all words, with a warning.
     """
     mixture = train(docs, labels, targets)
     sent = docs.sparkSession.sparkContext.broadcast((mixture.domains, mixture.weights, mixture.bias))
@@ -120,6 +121,8 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGE
     for i, j in pairs:
         moments[i, j] = moments[j, i] = sums[f"m{i}_{j}"]
     share = np.array([targets[d] for d in mixture.domains]) * np.isfinite(mixture.bias)
+    if unknown := [d for d in mixture.domains if targets[d] and not np.isfinite(mixture.bias[mixture.domains.index(d)])]:
+        warnings.warn(f"no labelled rows of {', '.join(unknown)}: the other targets are scaled up to all words", stacklevel=3)
     want = share / share.sum() * float(sums["all"])
     scale = np.divide(1.0, want, out=np.zeros(n), where=want > 0)
     top = float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * moments * np.sqrt(scale)).max()) + PULL
@@ -183,7 +186,10 @@ def mixed_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """The rows of docs, with all their columns, each as often as its rate says (mixed_rates). Rows don't move: their posteriors are worked out where they lie."""
+    """The rows of docs, with all their columns, each as often as its rate says (mixed_rates). Rows don't move: their posteriors are worked out where they lie.
+
+    Rows with one id and text have one rate and draw alike; null texts and null ids are drawn as in mixed_rates. An empty table stays empty.
+    """
     mixture, _ = fitted(docs, labels, targets)
     sent = docs.sparkSession.sparkContext.broadcast(mixture.__dict__)
 

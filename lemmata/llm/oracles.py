@@ -68,12 +68,14 @@ OP7 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256
   scored AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_dot_product(q.e, d.e) AS BIGINT) AS score FROM (SELECT DISTINCT ON (vec_id) * FROM v WHERE vec_id % 50 = 0) q JOIN v d ON q.vec_id <> d.vec_id AND len(q.e) = len(d.e))
   SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored) WHERE r <= 5"""
 
-OP8 = """WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-  places AS MATERIALIZED (SELECT r, doc_id, unnest(range(0, len(h) // 2)) AS i, len(h) // 2 AS n, h FROM texts),
-  windows AS MATERIALIZED (SELECT r, doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS k FROM places WHERE i + 100 <= n),
-  firsts AS (SELECT k, min({'d': doc_id, 'i': i}) AS f FROM windows GROUP BY k HAVING count(*) > 1),
-  late AS MATERIALIZED (SELECT r, i FROM windows JOIN firsts USING (k) WHERE {'d': doc_id, 'i': i} > f),
-  marked AS (SELECT p.r, p.i, substr(p.h, 2 * p.i + 1, 2) AS b, count(late.i) OVER (PARTITION BY p.r ORDER BY p.i ROWS 99 PRECEDING) > 0 AS gone FROM places p LEFT JOIN late ON p.r = late.r AND p.i = late.i),
+OP8 = """WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+  pieces AS (SELECT r, doc_id, n, j, substr(h, 2000 * j + 1, 2198) AS p FROM (SELECT *, unnest(range(0, (n + 999) // 1000)) AS j FROM texts)),
+  places AS MATERIALIZED (SELECT r, doc_id, 1000 * j + k AS i, key, b FROM (SELECT r, doc_id, j, unnest(range(0, least(1000, n - 1000 * j))) AS k,
+    unnest(list_transform(range(0, least(1000, n - 1000 * j)), lambda k: CASE WHEN 1000 * j + k + 100 <= n THEN md5_number(substr(p, 2 * k + 1, 200)) END)) AS key,
+    unnest(list_transform(range(0, least(1000, n - 1000 * j)), lambda k: substr(p, 2 * k + 1, 2))) AS b FROM pieces)),
+  firsts AS (SELECT key, min({'d': doc_id, 'i': i}) AS f FROM places WHERE key IS NOT NULL GROUP BY key HAVING count(*) > 1),
+  late AS MATERIALIZED (SELECT r, i FROM places JOIN firsts USING (key) WHERE {'d': doc_id, 'i': i} > f),
+  marked AS (SELECT p.r, p.i, b, count(late.i) OVER (PARTITION BY p.r ORDER BY p.i ROWS 99 PRECEDING) > 0 AS gone FROM places p LEFT JOIN late ON p.r = late.r AND p.i = late.i),
   spans AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS head FROM marked),
   kept AS (SELECT r, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (head) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (NOT gone) AS h FROM spans GROUP BY r)
   SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256 FROM texts LEFT JOIN kept USING (r)"""
