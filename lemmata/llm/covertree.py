@@ -139,6 +139,7 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, ids: np.n
         return 0
     qc, qr, dc, dr = queries.centre, queries.radius, data.centre, data.radius
     qn, dn = np.sqrt((qc**2).sum(axis=1)), np.sqrt((dc**2).sum(axis=1))
+    norms = np.sqrt((queries.points**2).sum(axis=1))
 
     def bound(q: int, d: np.ndarray) -> np.ndarray:
         x = dc[d] @ qc[q] + qr[q] * dn[d] + dr[d] * qn[q] + qr[q] * dr[d]
@@ -156,6 +157,10 @@ def search(queries: CoverTree, query_ids: np.ndarray, data: CoverTree, ids: np.n
         elif data.children[d]:
             pairs = [(q, np.array(data.children[d]))]
         else:
+            high = queries.points[rows] @ dc[d] + norms[rows] * dr[d]
+            rows = rows[high + 1e-9 * np.abs(high) + 1e-6 >= best.score[rows, -1]]  # each query by its own bound
+            if not len(rows):
+                continue
             own = data.order[slice(*data.stretch[d])]
             scored += len(rows) * len(own)
             for a in range(0, len(own), 4096):

@@ -388,6 +388,13 @@ def test_cover_tree():
     score = points[-50:] @ points.T
     score[np.arange(50), np.arange(50)] = -np.inf
     assert (best.score == -np.sort(-score, axis=1)[:, :5]).all()
+    centres = rng.normal(0, 1, (40, 64))
+    many = np.floor(256 * rng.permutation(np.concatenate([x + rng.normal(0, 0.05, (100, 64)) for x in centres])))
+    best, ids = covertree.Best(80, 5), np.arange(len(many))
+    scored = covertree.search(covertree.CoverTree(many[::50]), ids[::50], covertree.CoverTree(many), ids, best)
+    score = many[::50] @ many.T
+    score[np.arange(80), ids[::50]] = -np.inf
+    assert (best.score == -np.sort(-score, axis=1)[:, :5]).all() and scored < 0.25 * score.size
     assert covertree.CoverTree(np.zeros((0, 4))).stretch == [] and covertree.CoverTree(np.ones((90, 2))).stretch == [(0, 90)]
 
 
