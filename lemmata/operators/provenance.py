@@ -37,6 +37,13 @@ class Source:
         return self.kind in IMPORTABLE if self.importable is None else self.importable
 
 
+def with_flags(rows: DataFrame, sources: list[Source]) -> DataFrame:
+    """rows (source) with importable and elaborated of their sources, a small table; false for a source that isn't known."""
+    known = rows.sparkSession.createDataFrame([(s.id, s.can_import, s.is_compiled) for s in sources], "source string, _i boolean, _e boolean")
+    out = rows.join(F.broadcast(known), "source", "left")
+    return out.withColumn("importable", F.coalesce("_i", F.lit(False))).withColumn("elaborated", F.coalesce("_e", F.lit(False))).drop("_i", "_e")
+
+
 def stale_among(provenance: DataFrame, now: DataFrame) -> DataFrame:
     """source, why (moved before outdated), was, revision of the sources that are behind; both have source and revision. What isn't known is not stale."""
     met = provenance.withColumnRenamed("revision", "was").join(now, "source", "left")

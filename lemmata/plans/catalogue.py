@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..engine import Engine
+from .. import render
+from ..engine import Engine, Shown
 from ..functions import statements
 from ..functions.text import base, clipped, import_line, namespace, source_path, summary
 from ..operators import aggregates, find, graph, joins, looks, provenance, store
@@ -23,7 +24,9 @@ from ..operators.powers import writes_powers
 from ..operators.terms import missing_term_sources, specifics
 from ..pattern import parse
 from ..query import Arg, Query
+from ..schema import DECL
 from ..sources import jsonl, scanner, views
+from . import sample
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -842,3 +845,97 @@ def dup_candidates(spark, sf_dir):
     o = views.orders(spark, sf_dir)
     mine = o.where("id % 50 = 0").select("name", F.lit("theorem").alias("kind"), "concl", F.col("consts").alias("deps"))
     return joins.duplicates(mine, o, "5-LOW", 0.3).select("name", "other", F.round("similarity", 6).alias("similarity"))
+
+
+# ---------------------------------------------------------------- the engine over a small library
+
+
+def _engine(spark) -> Engine:
+    sources = [provenance.Source("lib", "lake"), provenance.Source("project", "local", importable=False), provenance.Source("notes", "git")]
+    texts = {"M.Space": sample.SPACE}
+    return Engine(
+        spark.createDataFrame(sample.library(), DECL).coalesce(1), sources=sources, namespace="My", read_module=lambda source, module: texts.get(module),
+        missing_module=lambda m: "package Std" if m.startswith("Std") else None,
+    )
+
+
+_FOUND = [
+    ("inner ℝ x x = _", {}), ("_ ^ 2 = inner ℝ x x", {}), ("0 ≤ a ^ 2", {}), ("inner ℝ x y ^ 2 ≤ _", {}), ("Euclid = _", {}), ("fderiv _ _ _ v = _", {}), ("foo * bar = bar * foo", {}),
+    (None, {"text": ("Norm.norm",), "kinds": ("theorem",)}), ("Real.exp _ ≤ Real.exp _", {}),
+]
+
+
+@query(
+    """SELECT * FROM (VALUES ('inner ℝ x x = _', 'real_inner_self', 'inner=Inner.inner'), ('_ ^ 2 = inner ℝ x x', 'real_inner_self', 'inner=Inner.inner,turned'), ('0 ≤ a ^ 2', 'mul_self_nonneg', 'respelled'),
+  ('inner ℝ x y ^ 2 ≤ _', 'inner_mul_le', 'inner=Inner.inner,respelled'), ('Euclid = _', 'Box.induction', 'Euclid~PiLp'), ('fderiv _ _ _ v = _', 'fderiv_apply', ''), ('foo * bar = bar * foo', 'mul_comm', 'bar,foo=_'),
+  ('--text Norm.norm', 'real_inner_self', 'uses'), ('Real.exp _ ≤ Real.exp _', 'Real.exp_monotone', '')) AS t(asked, names, how)"""
+)
+def find_with_looks(spark, sf_dir):
+    """find, W1 to W6, W8: patterns whose answer takes a second look, and how they were read."""
+    engine, rows = _engine(spark), []
+    for pattern, flags in _FOUND:
+        h = engine.find(pattern, **flags)
+        how = [f"{w}={c}" for w, c in h.read_as.items()] + ([",".join(sorted(h.variables)) + "=_"] if h.variables else []) + ["uses"] * bool(h.text_as_uses) + ["turned"] * h.swapped + ["respelled"] * bool(h.respelled)
+        how += [f"{a}~{','.join(b)}" for a, b in h.unfolded.items()]
+        rows.append((pattern or "--text Norm.norm", ",".join(r["name"] for r in h.rows), ",".join(how)))
+    return _as_rows(spark, "asked string, names string, how string", rows)
+
+
+_MISSES = [
+    dict(pattern="Nothing.here _ = Real.exp _"), dict(name="zzz"), dict(name="ctorIdx"), dict(module="Std.Data", name="exp"), dict(pattern="Real.exp _ = Real.exp _"), dict(pattern="Real.exp _ ≤ Real.exp (abs _)"),
+    dict(pattern="Real.exp _ ≤ _", name="exp_le_exp"), dict(name="mul", uses=("Real.exp",)), dict(name="exp", source="notes"), dict(pattern="inner ℂ x x = _"),
+]
+
+
+@query(
+    """SELECT * FROM (VALUES ('Barren', 'no match: `Nothing.here` in the pattern matches nothing on its own'), ('Plain', 'no match'), ('OnlyGenerated', 'no match: only names that the compiler generated match, which are hidden; add --generated to see them'),
+  ('NotIndexed', 'no match: `Std.Data` is in package Std, which is not a source of this index'), ('NoSuchShape', 'no match: nothing has that shape; those arguments go together under `LE.le`'),
+  ('NotInShape', 'no match: the shape matches, but nothing of that shape mentions `abs`; what is written inside a side is looked for anywhere in the statement'),
+  ('NamedElsewise', 'no match: `Real.exp_le_exp` concludes `Iff` over `_ LE.le LE.le`, and a pattern is matched against the whole conclusion; to match one side of it, append ` ↔ _` to the pattern'),
+  ('Combination', 'no match: --name mul and --uses Real.exp each match on their own, but not together'), ('InScope', 'no match: --source notes has 1 declaration, none matching --name exp'),
+  ('Unqualified', 'no match: `inner` is `Inner.inner` in the index, printed without its namespace, and that matches nothing either')) AS t(cause, said)"""
+)
+def miss_causes(spark, sf_dir):
+    """W7, 2.18: named causes of misses, and what is printed of them (first line)."""
+    engine = _engine(spark)
+    found = [engine.find(**asked) for asked in _MISSES]
+    return _as_rows(spark, "cause string, said string", [(h.empty.cause, render.hits(h).split("\n")[0]) for h in found])
+
+
+@query(
+    """SELECT * FROM (VALUES ('PiLp', 'PiLp', 'import M.Space', 'structure PiLp where', ''), ('proj', 'PiLp.proj', 'import M.Space', 'def PiLp.proj := 1', ''), ('PiLp.proj.ctorIdx', 'PiLp.proj.ctorIdx', 'import M.Space', '', 'PiLp.proj'),
+  ('My.square', 'My.square', '', '', ''), ('nope', '', '', '', '')) AS t(asked, name, line, source, inside)"""
+)
+def show_sources(spark, sf_dir):
+    """show, G5, J11, P5: declarations by name or ending, their import lines, source, or what they were generated inside."""
+    engine, rows = _engine(spark), []
+    names = ["PiLp", "proj", "PiLp.proj.ctorIdx", "My.square", "nope"]
+    for name, s in zip(names, engine.show_many(names), strict=True):
+        if isinstance(s, Shown):
+            rows.append((name, s.row["name"], s.import_line or "", (s.lines or "").split("\n")[0], s.inside["name"] if s.inside else ""))
+        else:
+            rows.append((name, "", "", "", ""))
+    return _as_rows(spark, "asked string, name string, line string, source string, inside string", rows)
+
+
+@query("SELECT * FROM (VALUES ('My.helper', 'materialize', 'project'), ('My.square', 'materialize', 'project'), ('Real.exp_le_exp', 'import', 'lib'), ('gone', 'missing', NULL)) AS t(name, role, source)")
+def add_plan(spark, sf_dir):
+    """add, G4: what copying a declaration takes."""
+    return _engine(spark).frontier("My.helper").select("name", "role", "source")
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority IN ('1-URGENT', '2-HIGH') AS importable, o_orderpriority <> '5-LOW' AND o_orderpriority <> '3-MEDIUM' AS elaborated FROM orders")
+def source_flags(spark, sf_dir):
+    """What rows' sources can do; an unknown source can't do anything."""
+    o = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("source"))
+    S = provenance.Source
+    return provenance.with_flags(o, [S("1-URGENT", "lake"), S("2-HIGH", "local"), S("4-NOT SPECIFIED", "lake", importable=False), S("5-LOW", "git")]).select("id", "importable", "elaborated")
+
+
+@query("SELECT * FROM (VALUES ('Real.exp_strictMono: used by 2'), ('  M.Exp: Real.exp_le_exp Real.exp_monotone'), ('My.square'), ('depth 1 (1)'), ('  lib: Real.exp_le_exp'), ('depth 2 (1)'), ('  lib: Real.exp_strictMono')) AS t(line)")
+def printed_graph(spark, sf_dir):
+    """rdeps, deps, 2.18: what is printed of both directions."""
+    engine = _engine(spark)
+    rows, total = engine.rdeps("Real.exp_strictMono")
+    text = render.rdeps("Real.exp_strictMono", rows.collect(), total) + render.deps("My.square", engine.deps("My.square", 2).collect())
+    return _as_rows(spark, "line string", [(x,) for x in text.strip().split("\n")])
