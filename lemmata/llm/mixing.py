@@ -19,6 +19,8 @@ BITS, SAMPLE, TEXT_CHARS = 16, 4000, 20_000
 PRESENT, ALPHA, L1, L2 = 0.3, 0.1, 2.0, 0.01
 #: Steps at most, and the largest error of a domain's share at which they end; the pull of rates towards 1.
 STEPS, CLOSE, PULL = 80, 0.001, 1e-3
+#: Rates are written every so many steps; between, each task works them out from there.
+KEEP_EVERY = 16
 #: Shares of all tokens that are wanted: domains are (quality, toxic) of the labelled table.
 TARGETS = {"1/0": 0.88, "0/0": 0.10, "1/1": 0.015, "0/1": 0.005}
 
@@ -40,17 +42,12 @@ class Mixture:
         return words, p
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        """Rates after all steps."""
-        return self._after_steps(p)[0]
+        """Rates after all steps. They start from 1."""
+        return self.moved(p, np.ones(len(p)), np.ones(len(p)))[0]
 
-    def ahead(self, p: np.ndarray) -> np.ndarray:
-        """Where the next step starts."""
-        return self._after_steps(p)[1]
-
-    def _after_steps(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rates start from 1; each step is max(0, rate - pull), with momentum."""
-        rate = ahead = np.ones(len(p))
-        for pull, momentum in self.steps:
+    def moved(self, p: np.ndarray, rate: np.ndarray, ahead: np.ndarray, after: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Rates, and where the next step starts, after the steps from number `after` on; each is max(0, rate - pull), with momentum."""
+        for pull, momentum in self.steps[after:]:
             new = np.maximum(0.0, ahead - p @ pull - self.shrink * (ahead - 1))
             rate, ahead = new, new + momentum * (new - rate)
         return rate, ahead
@@ -89,8 +86,8 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGE
     """The mixture, and the written table of doc_id, words and posteriors p that it was fitted on.
 
     Least squares: nonnegative rates r whose expected domain totals sum(words * p * r) match `targets` shares of all words, with a slight
-    pull towards 1. A step needs only the domains' totals at the present rates, one row of sums from each task; rates are not stored, as each task works them out
-    from the steps so far. Errors are weighed by 1 / wanted total, so that small domains count and a domain that posteriors hardly show doesn't outweigh the others. Steps are
+    pull towards 1. A step needs only the domains' totals at the present rates, one row of sums from each task; rates are written every KEEP_EVERY steps, and each task works them out from
+    there. Errors are weighed by 1 / wanted total, so that small domains count and a domain that posteriors hardly show doesn't outweigh the others. Steps are
     accelerated (Nesterov) and scaled by the largest eigenvalue of the domains' moments. A domain without labelled rows can't be told: its posteriors are 0, and the
     others' targets are scaled up to all words, with a warning.
     """
@@ -127,18 +124,33 @@ def fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGE
     scale = np.divide(1.0, want, out=np.zeros(n), where=want > 0)
     top = float(np.linalg.eigvalsh(np.sqrt(scale)[:, None] * moments * np.sqrt(scale)).max()) + PULL
     mixture.shrink = PULL / top
-    t = 1.0
-    for _ in range(STEPS):
+    t, done = 1.0, 0
+    one = F.lit(1.0)
+    now = rows.select("words", "p", one.alias("rate"), one.alias("ahead"))
+
+    def steps_on(batch, steps, shrink):
+        p, rate, ahead = np.asarray(batch.column("p").flatten()).reshape(batch.num_rows, -1), *(np.asarray(batch.column(c)) for c in ("rate", "ahead"))
+        return p, *Mixture([], np.zeros(0), np.zeros(0), steps, shrink).moved(p, rate, ahead)
+
+    for k in range(STEPS):
+
+        def advance(batches, steps=mixture.steps[done:], shrink=mixture.shrink):
+            for batch in batches:
+                _, rate, ahead = steps_on(batch, steps, shrink)
+                yield pa.RecordBatch.from_arrays([batch.column("words"), batch.column("p"), pa.array(rate), pa.array(ahead)], ["words", "p", "rate", "ahead"])
+
+        if k and k % KEEP_EVERY == 0:
+            now = materialize(now.transform(in_batches, advance, "words bigint, p array<double>, rate double, ahead double"))
+            done = len(mixture.steps)
 
-        def total(batches, now=mixture.steps, shrink=mixture.shrink):
-            model = Mixture([], np.zeros(0), np.zeros(0), now, shrink)
+        def total(batches, steps=mixture.steps[done:], shrink=mixture.shrink):
             out = np.zeros(n)
             for batch in batches:
-                p = np.asarray(batch.column("p").flatten()).reshape(batch.num_rows, -1)
-                out += (np.asarray(batch.column("words")) * model.ahead(p)) @ p
+                p, _, ahead = steps_on(batch, steps, shrink)
+                out += (np.asarray(batch.column("words")) * ahead) @ p
             yield pa.RecordBatch.from_arrays([pa.array([out.tolist()], pa.list_(pa.float64()))], ["s"])
 
-        parts = rows.select("words", "p").transform(in_batches, total, "s array<double>")
+        parts = now.transform(in_batches, total, "s array<double>")
         have = np.array(parts.agg(*(F.sum(F.get("s", F.lit(i))) for i in range(n))).first(), float)
         error = have - want
         if np.abs(error).max() <= CLOSE * want.sum():
