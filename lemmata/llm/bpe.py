@@ -33,6 +33,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.whole = tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})  # all of a piece is one match
         self.known: dict[str, bytes] = {}
 
     def _ids(self, piece: str) -> bytes:
@@ -40,9 +41,9 @@ class Codec:
         if run <= LONG_SPACE:
             ids = self.encoding.encode_ordinary(piece)
         elif run == len(piece):
-            ids = self.encoding._encode_single_piece(piece)
+            ids = self.whole.encode_ordinary(piece)
         else:  # all but the last white space is one match; the last one may belong to what follows
-            ids = self.encoding._encode_single_piece(piece[: run - 1]) + self.encoding.encode_ordinary(piece[run - 1 :])
+            ids = self.whole.encode_ordinary(piece[: run - 1]) + self.encoding.encode_ordinary(piece[run - 1 :])
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
@@ -69,11 +70,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, digests: bool
     Returns doc_id and n_tokens with ids_sha256 and decoded_sha256, or (digests=False) with ids array<int> and decoded binary. A null
     text is empty: no ids and no bytes. Texts are cut before each run of white space, where no match of the pattern can cross, and each different piece is
     encoded once by a worker as long as it remembers it. No special tokens.
-    `ranks` has at most a few hundred thousand entries, the size of a vocabulary; they go to the workers in the function.
+    `ranks` has at most a few hundred thousand entries, the size of a vocabulary; they are broadcast.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def of(batches):
-        codec = Codec(ranks, pattern)
+        codec = Codec(sent.value, pattern)
         for batch in batches:
             n, first, second = [], [], []
             for text in batch.column("text"):
