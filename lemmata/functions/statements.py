@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType, StringType
 
 _CLOSE = {"(": ")", "{": "}", "[": "]", "⦃": "⦄", "⟨": "⟩"}
 
@@ -108,6 +111,18 @@ def explicit_positions(heads: Sequence[str], explicit: Sequence[str] | None) ->
     return [a if a == b else None for a, b in zip(first, reversed(last), strict=True)]
 
 
+@pandas_udf(StringType())
+def said(type_: pd.Series) -> pd.Series:
+    """says() of a column; for the few rows that are printed."""
+    return type_.map(lambda t: None if t is None else says(t))
+
+
+@pandas_udf(IntegerType())
+def arity(type_: pd.Series) -> pd.Series:
+    """explicit_arity() of a column."""
+    return pd.Series([None if t is None else explicit_arity(t) for t in type_], dtype="Int32")
+
+
 def _java(word: str) -> str:
     return r"\Q" + word.replace("\\E", r"\E\\E\Q") + r"\E"
 

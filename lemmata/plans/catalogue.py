@@ -834,10 +834,8 @@ def printed_statements(spark, sf_dir):
     """A statement without inferred binders, its explicit arity, and a word that it prints bare."""
     p = views.table(spark, sf_dir, "part")
     text = F.concat(F.lit("∀ {α : Type} [inst : Ring α], x"), F.col("p_size").cast("string"), F.lit(" = y"))
-    said = F.udf(statements.says, "string")
-    arity = F.udf(statements.explicit_arity, "int")
     return p.select(
-        F.col("p_partkey").alias("id"), said(text).alias("says"), arity(F.concat(F.lit("∀ {α : Type} (a : α), List "), F.col("p_name"), F.lit(" → Nat"))).alias("arity"), statements.prints_bare(text, "y").alias("bare")
+        F.col("p_partkey").alias("id"), statements.said(text).alias("says"), statements.arity(F.concat(F.lit("∀ {α : Type} (a : α), List "), F.col("p_name"), F.lit(" → Nat"))).alias("arity"), statements.prints_bare(text, "y").alias("bare")
     )
 
 
