@@ -171,3 +171,9 @@ def test_maps_that_constants_return():
 def test_nothing_is_too_odd(text):
     parse(text)
     parse(text * 3)
+
+
+def test_nested_too_deeply():
+    with pytest.raises(ValueError, match="deeply"):
+        parse("(" * 5000 + "a = b")
+    assert powers_of_statement("(" * 5000 + "a ^ 2 = b") == ([], False)
