@@ -8,9 +8,6 @@ from pyspark.sql.window import Window
 
 from ..query import UBIQUITOUS
 
-#: Lines of the smallest bins in which spans meet.
-BIN = 16
-
 
 def lookup(decls: DataFrame, names: DataFrame) -> DataFrame:
     """One row for each of names (name, pos) that is there, in the order asked: elaborated rows first, then load order."""
@@ -22,26 +19,33 @@ def lookup(decls: DataFrame, names: DataFrame) -> DataFrame:
 def enclosing(spans: DataFrame) -> DataFrame:
     """For each row (name, source, module, line_start, line_end) the smallest row of its module that strictly contains it; ties by name.
 
-    Spans are laid into bins of lines, from BIN lines on in powers of two: a span is in the bins of its own size class that it touches, two at most. A span that contains another is in a class at least
-    as high and touches the bin of the other's first line there, so a row meets, class by class, only spans that reach the lines around it and never its whole module.
+    Rows of equal spans are one. What contains a span begins on its line, and then the next longer span there is the smallest; or it begins on an earlier line of the module. Those lines
+    are a few blocks, each a power of two long and in its place (as in a Fenwick tree, one for each bit of the number of lines). A span is put down in each block that has its first line
+    and is asked for, and asks in each of its own blocks for the smallest that ends with it or later: a running minimum from the last line up. So rows grow with the spans and the bits
+    of a module's length, and never with the pairs of spans.
     """
-    wide = F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(1))
-    level = F.greatest(F.ceil(F.log2(wide / F.lit(float(BIN)))), F.lit(0)).cast("int")
-    spans = spans.where("line_start is not null and line_end is not null")
-    own = spans.withColumn("level", level)
-    size = F.expr(f"{BIN} * shiftleft(1L, level)")
-    outer = own.select(
-        "source", "module", F.col("name").alias("outer_name"), F.col("line_start").alias("a"), F.col("line_end").alias("b"), "level",
-        F.explode(F.sequence(F.floor(F.col("line_start") / size), F.floor(F.col("line_end") / size))).alias("bin"),
-    )
-    classes = own.select("source", "module", "level").distinct().groupBy("source", "module").agg(F.array_sort(F.collect_set("level")).alias("levels"))
-    inner = own.join(classes, ["source", "module"]).select("source", "module", "name", "line_start", "line_end", F.explode(F.filter("levels", lambda x: x >= F.col("level"))).alias("level"))
-    inner = inner.withColumn("bin", F.floor(F.col("line_start") / size))
-    met = inner.join(outer, ["source", "module", "level", "bin"]).where("a <= line_start and b >= line_end and (a < line_start or b > line_end)")
-    best = met.groupBy("source", "module", "name", "line_start", "line_end").agg(
-        F.min(F.struct((F.col("b") - F.col("a")).alias("size"), "outer_name")).alias("m")
+    at = ["source", "module", "line_start", "line_end"]
+    spans = spans.where("source is not null and module is not null and line_start is not null and line_end is not null").select(*at, "name")
+    own = spans.groupBy(*at).agg(F.min("name").alias("first"))
+    size = (F.col("line_end") - F.col("line_start")).alias("size")
+    held = F.struct(size, F.col("first").alias("outer_name"))
+    longer = Window.partitionBy("source", "module", "line_start").orderBy("line_end")
+    same = own.select(*at, F.lead(held).over(longer).alias("m")).where("m is not null")
+
+    ends = own.groupBy("source", "module").agg(F.min("line_start").cast("bigint").alias("lo"), F.max("line_start").cast("bigint").alias("hi"))
+    own = own.join(ends, ["source", "module"]).withColumn("x", F.col("line_start") - F.col("lo"))
+    bits = F.sequence(F.lit(0), F.length(F.bin(F.col("hi") - F.col("lo"))) - 1)
+    block = F.struct(F.col("bit"), F.expr("shiftright(x, bit)").alias("n"))
+    cells = own.withColumn("bit", F.explode(bits)).select(*at, "first", block.alias("block"))
+    # Blocks that are asked for are even: where a bit of x is set its own block is odd, and the one before that holds lines before x alone.
+    odd = F.col("block.n") % 2 == 1
+    met = cells.select(
+        *at, F.struct(F.col("block.bit"), (F.col("block.n") - odd.cast("int")).alias("n")).alias("block"), odd.alias("asks"), F.when(~odd, held).alias("held")
     )
-    return best.select("source", "module", "name", F.col("m.outer_name").alias("enclosing"), (F.col("m.size") + 1).alias("lines"))
+    below = Window.partitionBy("source", "module", "block").orderBy(F.desc("line_end"))
+    before = met.withColumn("m", F.min("held").over(below)).where("asks and m is not null").select(*at, "m")
+    best = same.unionByName(before).groupBy(*at).agg(F.min("m").alias("m"))
+    return spans.distinct().join(best, at).select("source", "module", "name", F.col("m.outer_name").alias("enclosing"), (F.col("m.size") + 1).alias("lines"))
 
 
 def mentions_of(uses: DataFrame, deps: DataFrame, name: str) -> DataFrame:

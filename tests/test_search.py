@@ -248,6 +248,23 @@ def test_enclosing_in_bins(spark):
     assert {r["name"]: r["enclosing"] for r in joins.enclosing(df).collect()} == want
 
 
+def test_enclosing_makes_no_pairs(spark):
+    """Chains of spans round the same lines: each holds all before it. Pairs would be 72 million."""
+    n = 6000
+    rows = spark.range(n).select(F.concat(F.lit("d"), "id").alias("name"), F.lit("s").alias("source"), F.lit("M").alias("module"), (n - F.col("id")).cast("int").alias("line_start"), (n + F.col("id")).cast("int").alias("line_end"))
+    rows = rows.unionByName(rows.withColumn("name", F.concat("name", F.lit("x"))))
+    found = joins.enclosing(rows)
+    assert found.agg(F.count("*"), F.count_if(F.concat(F.lit("d"), F.regexp_extract("name", "[0-9]+", 0).cast("int") + 1) == F.col("enclosing"))).first() == (2 * n - 2, 2 * n - 2)
+    made, nodes = [], [found._jdf.queryExecution().executedPlan()]
+    while nodes:
+        x = nodes.pop()
+        kids = [x.executedPlan()] if "AdaptiveSparkPlan" in x.nodeName() else [x.plan()] if "QueryStage" in x.nodeName() else [x.children().apply(i) for i in range(x.children().size())]
+        nodes += kids
+        if x.metrics().contains("numOutputRows"):
+            made.append(x.metrics().apply("numOutputRows").value())
+    assert "Join" in found._jdf.queryExecution().executedPlan().toString() and max(made) < 40 * 2 * n
+
+
 def test_ids_follow_files_and_lines(spark, tmp_path):
     line = lambda name, **more: json.dumps(dict(name=name, source="s", module="M", kind="def", type="t", elaborated=True) | more)
     (tmp_path / "a.jsonl").write_text(line("a0") + "\n")
