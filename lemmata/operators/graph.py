@@ -17,6 +17,8 @@ UNFOLD_DEPTH = 16
 
 #: Levels of a walk that are read as separate tables before they are written as one.
 COMPACT = 16
+#: Bits of the hashes by which rows are let through before a join: 16 MB for all tasks. With many more values than that more rows get through, and results stay the same.
+FILTER_BITS = 27
 
 
 def scratch(spark: SparkSession) -> str:
@@ -36,18 +38,35 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def may_match(rows: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose column is among the values of wanted's key, and few others: what is to be joined with them, before it is shuffled.
+
+    The values' hashes are set in bitmaps of 4,096 bytes, and these go to all tasks. They are dealt by bitmap first, so that one is made in one place.
+    """
+    def placed(c: str) -> tuple:
+        h = F.xxhash64(c).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+        return F.shiftright(h, 15).alias("_bitmap"), h.bitwiseAND(F.lit(32767)).alias("_bit")
+
+    maps = wanted.select(*placed(key)).repartition("_bitmap").groupBy("_bitmap").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    bitmap, bit = placed(column)
+    met = rows.where(F.col(column).isNotNull()).withColumns({"_bitmap": bitmap, "_bit": bit}).join(F.broadcast(maps), "_bitmap")
+    byte = F.expr("cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
+    return met.where(F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def reach(edges: DataFrame, roots: DataFrame, stop: DataFrame | None = None, depth: int | None = None) -> DataFrame:
     """root, node, level (fewest steps) for everything reachable from each root over edges src, dst; the root itself at level 0.
 
     Nodes of `stop` (column node) are reached and not passed. All roots advance together: a level is one join of the newest nodes with the edges
-    and an anti-join with what is known, written so that lineage ends there. Levels are written together every COMPACT, so that a long walk's plan stays small. Cycles end as nothing new turns up.
+    and an anti-join with what is known, written so that lineage ends there. Of the edges only those that may start at a newest node are shuffled. Levels are written together every COMPACT, so that a long walk's plan stays small. Cycles end as nothing new turns up.
     """
     now = _written(roots.select(F.col("node").alias("root"), "node").distinct().withColumn("level", F.lit(0)))
     seen, level = now, 0
     while depth is None or level < depth:
         level += 1
         open_ = now.join(stop.select("node"), "node", "left_anti") if stop is not None else now
-        new = open_.join(edges, open_["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
+        near = may_match(edges.select("src", "dst"), "src", open_, "node")
+        new = open_.join(near, open_["node"] == near["src"]).select("root", F.col("dst").alias("node")).distinct()
         new = _written(new.join(seen, ["root", "node"], "left_anti").withColumn("level", F.lit(level)))
         if new.isEmpty():
             break

@@ -108,7 +108,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, dst: what each entity refers to."""
+    """src, dst: what each entity refers to; as often as it does, since making them distinct would shuffle all."""
     t = lambda name: table(spark, sf_dir, name)
     node = lambda kind, c: F.concat(F.lit(kind + ":"), F.col(c).cast("string"))
     some = [
@@ -122,7 +122,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = some[0]
     for x in some[1:]:
         out = out.unionByName(x)
-    return out.distinct()
+    return out
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
