@@ -68,7 +68,7 @@ class Engine:
     """A table of declarations (schema.DECL), with the tables that store.write_index writes beside it, if there are any.
 
     Each method of the store plans as a filter, a semi-join or an aggregate over these tables; searches collect the few rows that they show.
-    read_module(source, module) gives a module's text, for show and add.
+    read_module(source, module) gives a module's text, for show and add. edges (src, dst) has the dependencies, by name, where they are a table of their own; else they are read from the rows.
     """
 
     def __init__(
@@ -82,8 +82,9 @@ class Engine:
         read_module: Callable[[str, str], str | None] = lambda source, module: None,
         missing_module: Callable[[str], str | None] = lambda m: None,
         missing_name: Callable[[str], str | None] = lambda n: None,
+        edges: DataFrame | None = None,
     ):
-        self.decls, self.uses, self.tokens, self._provenance = decls, uses, tokens, provenance
+        self.decls, self.uses, self.tokens, self._provenance, self._edges = decls, uses, tokens, provenance, edges
         self.sources = {s.id: s for s in sources}
         self.namespace, self.read_module = namespace, read_module
         self.missing_module, self.missing_name = missing_module, missing_name
@@ -416,26 +417,27 @@ class Engine:
     # ------------------------------------------------------------ graph
 
     def edges(self) -> DataFrame:
-        return self.decls.select(F.col("name").alias("src"), F.explode("deps").alias("dst"))
+        return self._edges if self._edges is not None else self.decls.select(F.col("name").alias("src"), F.explode("deps").alias("dst"))
 
     def deps(self, name: str, depth: int | None = 1, source: str | None = None) -> DataFrame:
         """level, name, source, module, kind, elaborated, approximate: what a declaration rests on, up to a depth (None: all). approximate: the root is known as text only."""
         root = self.meant(name, source)
         found = graph.reach_one(self.edges(), root["name"], depth=depth).where("level > 0").select(F.col("node").alias("name"), "level")
-        rows = found.join(self._first_rows(), "name")
+        rows = found.join(self._first_rows(found), "name")
         return rows.select("level", "name", "source", "module", "kind", "elaborated", F.lit(not root["elaborated"]).alias("approximate")).orderBy("level", "name")
 
     def closure(self, name: str, source: str | None = None) -> DataFrame:
         """source, n, theorems of all that a declaration rests on; names that aren't in the index have a null source."""
         root = self.meant(name, source)
         found = graph.reach_one(self.edges(), root["name"]).where("level > 0").select(F.col("node").alias("name"))
-        rows = found.join(self._first_rows(), "name", "left")
+        rows = found.join(self._first_rows(found), "name", "left")
         return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "theorem").alias("theorems")).orderBy("source")
 
-    def _first_rows(self) -> DataFrame:
-        """One row for each name, compiled ones first."""
+    def _first_rows(self, names: DataFrame | None = None) -> DataFrame:
+        """One row for each name, compiled ones first; with names (name), of these and perhaps a few more."""
+        rows = self.decls if names is None else graph.may_match(self.decls, "name", names, "name")
         best = F.max_by(F.struct("source", "module", "kind", "elaborated", "line_start", "line_end", "id"), F.struct("elaborated", -F.col("id")))
-        return self.decls.groupBy("name").agg(best.alias("r")).select("name", "r.*")
+        return rows.groupBy("name").agg(best.alias("r")).select("name", "r.*")
 
     def rdeps(self, name: str, limit: int = 100, **within) -> tuple[DataFrame, int]:
         """What mentions a declaration, in order of source, module and name, and how many do."""
