@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lemmata.engine import Engine
 from lemmata.operators import graph
-from lemmata.sources import views
+from lemmata.sources import scanner, views
 
 
 @pytest.fixture
@@ -55,3 +55,9 @@ def test_closures_group_what_they_reach(spark, shuffled):
     assert found == want and moved < 2_000_000
     edges = spark.createDataFrame([("a", "b"), ("a", "gone"), ("a", "b")], "src string, dst string")
     assert {tuple(r) for r in Engine(made.withColumn("deps", F.array().cast("array<string>")), edges=edges).closure("a").collect()} == want
+
+
+def test_texts_of_one_partition_are_dealt_out(spark):
+    files = spark.range(0, 400, 1, 1).select(F.lit("s").alias("source"), F.concat(F.lit("M"), "id").alias("module"), F.concat(F.lit("def d"), "id", F.lit(" := 1")).alias("text"))
+    found = scanner.declarations(files).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in found) == 400 and max(r.n for r in found) < 100
