@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import words
@@ -66,9 +66,12 @@ def tokens_of(decls: DataFrame) -> DataFrame:
 
 def write_index(decls: DataFrame, path: str) -> None:
     """The rows, and beside them what statements mention and which words they have, sorted so that a lookup reads few row groups. Sources that decls doesn't have stay as they are."""
-    write(decls, f"{path}/decl")
-    _replacing(mentions_of(decls), f"{path}/uses", ["dst", "id"])
-    _replacing(tokens_of(decls), f"{path}/tokens", ["token", "id"])
+    seen = Observation()
+    write(decls.observe(seen, F.collect_set("source").alias("sources"), F.count_if(F.coalesce("source", F.lit("")) == "").alias("without")), f"{path}/decl")
+    there, ours = read(decls.sparkSession, f"{path}/decl"), F.col("source").isin(seen.get["sources"])
+    kept = there.where(ours | F.col("source").isNull() if seen.get["without"] else ours)  # the rows as written, not made a second time
+    _replacing(mentions_of(kept), f"{path}/uses", ["dst", "id"])
+    _replacing(tokens_of(kept), f"{path}/tokens", ["token", "id"])
 
 
 def _there(spark: SparkSession, path: str) -> bool:

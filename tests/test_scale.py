@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lemmata.engine import Engine
-from lemmata.operators import graph
+from lemmata.operators import graph, store
 from lemmata.sources import scanner, views
 
 
@@ -61,3 +61,20 @@ def test_texts_of_one_partition_are_dealt_out(spark):
     files = spark.range(0, 400, 1, 1).select(F.lit("s").alias("source"), F.concat(F.lit("M"), "id").alias("module"), F.concat(F.lit("def d"), "id", F.lit(" := 1")).alias("text"))
     found = scanner.declarations(files).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()
     assert sum(r.n for r in found) == 400 and max(r.n for r in found) < 100
+
+
+def test_an_index_makes_its_rows_once(spark, shuffled, tmp_path):
+    """Sources that are not written again keep their mentions, and a null source has its own."""
+    n = 100_000
+    grouped = spark.range(n).groupBy(F.sha2(F.col("id").cast("string"), 256).alias("name")).agg(F.max("id").alias("id"))
+    rows = views.as_decls(grouped, id=F.col("id"), name=F.col("name"), source=F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b"), consts=F.array(F.lit("x")))
+    for c, t in (("line_start", "int"), ("line_end", "int"), ("term", "string"), ("unfolds", "string")):
+        rows = rows.withColumn(c, F.lit(None).cast(t))
+    path = str(tmp_path / "index")
+    _, once = shuffled(lambda: rows.write.format("noop").mode("overwrite").save())
+    _, moved = shuffled(lambda: store.write_index(rows, path))
+    assert 0 < moved < 1.5 * once
+    store.write_index(rows.where("source = 'a'").withColumn("consts", F.array(F.lit("y"))), path)
+    store.write_index(rows.where("source = 'none'"), path)
+    found = {tuple(r) for r in store.read_index(spark, path).uses.groupBy("source", "dst").agg(F.count("*")).collect()}
+    assert found == {("a", "y", 33334), ("b", "x", 33333), (None, "x", 33333)}
