@@ -36,9 +36,10 @@ def as_decls(df: DataFrame, **columns: Column) -> DataFrame:
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order is a declaration: its parts are the constants of its statement, its suppliers those of its proof."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_set(F.concat(F.lit("part."), "l_partkey"))).alias("parts"),
-        F.array_sort(F.collect_set(F.concat(F.lit("supp."), "l_suppkey"))).alias("supps"),
+    named = lambda kind, keys: F.array_sort(F.transform(keys, lambda k: F.concat(F.lit(kind), k)))
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(  # keys are shuffled, names made of them afterwards
+        F.collect_set("l_partkey").alias("parts"),
+        F.collect_set("l_suppkey").alias("supps"),
         F.max(F.col("l_returnflag") == "R").alias("returned"),
     )
     o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
@@ -50,8 +51,8 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         module=F.date_format("o_orderdate", "'Sales.'yyyy.MM"),
         kind=F.col("o_orderstatus"),
         type=F.concat(F.lit("total "), F.col("o_totalprice").cast("bigint").cast("string")),
-        consts=F.col("parts"),
-        deps=F.col("supps"),
+        consts=named("part.", F.col("parts")),
+        deps=named("supp.", F.col("supps")),
         sorry=F.col("returned"),
     )
 
