@@ -8,6 +8,11 @@ from pyspark.sql.window import Window
 
 from ..query import UBIQUITOUS
 
+#: Sets of up to so many items are sent along with the items by which they meet others.
+CARRIED = 32
+#: Cells of hashes by which it is counted how often items occur.
+CELLS = 1 << 16
+
 
 def lookup(decls: DataFrame, names: DataFrame) -> DataFrame:
     """One row for each of names (name, pos) that is there, in the order asked: elaborated rows first, then load order."""
@@ -76,35 +81,77 @@ def relocated(declared: DataFrame, indexed: DataFrame) -> DataFrame:
     return declared.select("source", "name", "module").join(old, ["source", "name"]).where("module <> was")
 
 
-def similar(sets: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
-    """Pairs id, other, similarity of rows (id, items: distinct values) with a Jaccard similarity of threshold or more; of each row the `most` most similar.
+def _ordered(sets: DataFrame) -> DataFrame:
+    """id, o: a set's items in an order that is the same for all sets, those first that are rare. How rare is counted by cells of hashes, few enough to be sent to all tasks; any order is right."""
+    items = sets.select("id", F.explode("items").alias("item")).withColumn("cell", F.pmod(F.xxhash64("item"), F.lit(CELLS)))
+    often = items.groupBy("cell").agg(F.count("*").alias("often"))
+    put = items.join(F.broadcast(often), "cell").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("o"))
+    return put.select("id", F.col("o.item").alias("o"))
 
-    Exact: two such sets share an item among the first n - ceil(t n) + 1 of each in the order of rising frequency (prefix
-    filter), and what follows the first such item must be long enough for the rest (position filter), so only rare items are joined and common ones never meet.
-    """
-    items = sets.select("id", F.explode("items").alias("item"))
-    often = items.groupBy("item").agg(F.count("*").alias("often"))
-    ordered = items.join(often, "item").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("often", "item"))).alias("o"))
+
+def _prefix(ordered: DataFrame, threshold: float) -> DataFrame:
+    """A row (id, o, item) for each of the first n - ceil(t n) + 1 items of a set."""
     n = F.size("o")
-    keep = n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1
-    probe = ordered.select("id", n.alias("n"), F.posexplode(F.slice("o", F.lit(1), keep)).alias("i", "p")).select("id", "n", (F.col("i") + 1).alias("at"), "p.item")
+    return ordered.select("id", "o", F.explode(F.slice("o", F.lit(1), n - F.ceil(F.lit(threshold) * n - 1e-9).cast("int") + 1)).alias("item"))
+
+
+def _similar_carried(sets: DataFrame, threshold: float, most: int | None) -> DataFrame:
+    """Pairs of small sets. A set goes with each item of its prefix, so that two that meet are compared there, at the first item they share and nowhere else: pairs are never shuffled.
+
+    Equal sets are one where they meet; each of them is paired with the first of another's, as many as can be among the `most`.
+    """
+    at = F.max(F.array_position("o", F.col("item")).cast("int")).alias("at")  # aggregated: a filter by it comes after the shuffle then, which both sides of the join share
+    probe = _prefix(_ordered(sets), threshold).repartition("item").groupBy("item", "o").agg(F.sort_array(F.collect_list("id")).alias("ids"), at)
+    probe = probe.withColumn("n", F.size("o"))
+    # Of two sets that are similar enough, the smaller (both, if as large) has the first shared item among the first n - ceil(2t / (1 + t) n) + 1.
+    short = F.col("n") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n") - 1e-9).cast("int") + 1
+    s, p = probe.where(F.col("at") <= short).alias("s"), probe.alias("p")
+    longest = F.least(F.col("s.n") - F.col("s.at"), F.col("p.n") - F.col("p.at")) + 1  # what can be shared from here on
+    both = F.array_intersect("s.o", "p.o")
+    similarity = F.size(both) / (F.col("s.n") + F.col("p.n") - F.size(both))
+    met = (
+        s.join(p, F.col("s.item") == F.col("p.item"))
+        .where((F.col("p.n") >= F.col("s.n")) & (F.col("s.n") >= F.lit(threshold) * F.col("p.n") - 1e-9))
+        .where((1 + threshold) * longest >= threshold * (F.col("s.n") + F.col("p.n")) - 1e-9)
+        .where((similarity >= threshold) & (F.get(both, F.lit(0)) == F.col("s.item")))
+    )
+    first = lambda ids: F.col(ids) if most is None else F.slice(ids, 1, most + 1)
+    there, back = (F.struct(F.col(f"{x}.ids").alias("ids"), first(f"{y}.ids").alias("others")) for x, y in ("sp", "ps"))
+    ways = F.when(F.col("p.n") > F.col("s.n"), F.array(there, back)).otherwise(F.array(there))  # of sets as large, each is s once
+    each = met.select(similarity.alias("similarity"), F.explode(ways).alias("w")).select("similarity", "w.others", F.explode("w.ids").alias("id"))
+    return each.select("id", F.explode("others").alias("other"), "similarity").where("id <> other")
+
+
+def _similar_looked_up(sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of sets one of which is not small: candidates first, then their sets are joined to them."""
+    probe = _prefix(_ordered(sets), threshold).select("id", F.size("o").alias("n"), F.array_position("o", F.col("item")).cast("int").alias("at"), "item")
     left, right = probe.alias("l"), probe.alias("r")
-    longest = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) + 1  # what can be shared from here on
+    longest = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at")) + 1
     pairs = (
         left.join(right, F.col("l.item") == F.col("r.item"))
-        .where(F.col("l.id") < F.col("r.id"))
+        .where((F.col("l.id") < F.col("r.id")) & (F.greatest("l.n", "r.n") > CARRIED))
         .where(F.least("l.n", "r.n") >= F.lit(threshold) * F.greatest("l.n", "r.n") - 1e-9)
         .where((1 + threshold) * longest >= threshold * (F.col("l.n") + F.col("r.n")) - 1e-9)
         .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
         .distinct()
     )
     x, y = sets.select(F.col("id").alias("a"), F.col("items").alias("x")), sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    met = pairs.join(x, "a").join(y, "b")
     both = F.size(F.array_intersect("x", "y"))
-    met = met.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
-    each = met.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(
-        met.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity")
-    )
+    met = pairs.join(x, "a").join(y, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).where(F.col("similarity") >= threshold)
+    ways = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))
+    return met.select(F.explode(ways).alias("w"), "similarity").select("w.id", "w.other", "similarity")
+
+
+def similar(sets: DataFrame, threshold: float, most: int | None = None) -> DataFrame:
+    """Pairs id, other, similarity of rows (id, items: distinct values) with a Jaccard similarity of threshold or more; of each row the `most` most similar.
+
+    Exact: two such sets share an item among the first n - ceil(t n) + 1 of each in the order of rising frequency (prefix
+    filter), and what follows the first such item must be long enough for the rest (position filter), so only rare items are joined and common ones never meet.
+    Sets of CARRIED items at most are sent along with these items; what is shuffled for larger ones would grow with the square of their size, so they are looked up for pairs.
+    """
+    sets, size = sets.where("id is not null"), F.size("items")  # said once for all that is made of sets, so that shuffles they need are shared
+    carried = _similar_carried(sets.where(size <= CARRIED), threshold, most)
+    each = carried.unionByName(_similar_looked_up(sets.where(size > threshold * CARRIED - 1e-9), threshold))
     if most is None:
         return each
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")

@@ -57,6 +57,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, items: the parts of each order that has lines, as keys."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("item"))
+    return lines.repartition("id").groupBy("id").agg(F.collect_set("item").alias("items"))  # an order's lines lie apart, arrays of one item are larger than its key
+
+
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_decls(
         table(spark, sf_dir, "part"),

@@ -1,10 +1,14 @@
 """What steps shuffle, in place of how long they take."""
 
+import random
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
 from lemmata.engine import Engine
-from lemmata.operators import graph, store
+from lemmata.operators import graph, joins, store
+from lemmata.plans import catalogue
 from lemmata.sources import scanner, views
 
 
@@ -78,3 +82,64 @@ def test_an_index_makes_its_rows_once(spark, shuffled, tmp_path):
     store.write_index(rows.where("source = 'none'"), path)
     found = {tuple(r) for r in store.read_index(spark, path).uses.groupBy("source", "dst").agg(F.count("*")).collect()}
     assert found == {("a", "y", 33334), ("b", "x", 33333), (None, "x", 33333)}
+
+
+def likest(sets, threshold, most):
+    """id, other, rank: of each set the others that are like it, by all pairs that share an item."""
+    has = defaultdict(list)
+    for i, x in sets.items():
+        for item in x:
+            has[item].append(i)
+    out = set()
+    for i, x in sets.items():
+        common = Counter(j for item in x for j in has[item] if j != i)
+        like = {j: c / (len(x) + len(sets[j]) - c) for j, c in common.items()}
+        best = sorted((-s, j) for j, s in like.items() if s >= threshold)[:most]
+        out |= {(i, j, round(-s, 6), rank) for rank, (s, j) in enumerate(best, 1)}
+    return out
+
+
+@pytest.mark.parametrize("copies", [0, 1_000])
+def test_similarity_does_not_shuffle_pairs(spark, shuffled, copies):
+    """Sets that meet often and are seldom similar, and copies of one."""
+    rng = random.Random(5)
+    sets = {i: rng.sample(range(150), rng.randint(3, 5)) for i in range(3_000)} | {i: [7, 8, 9] for i in range(3_000, 3_000 + copies)}
+    rows = spark.createDataFrame(list(sets.items()), "id bigint, items array<bigint>")
+    _, once = shuffled(lambda: rows.repartition(4, "id").write.format("noop").mode("overwrite").save())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the sets were many
+    try:
+        found, moved = shuffled(lambda: {(r.id, r.other, round(r.similarity, 6), r["rank"]) for r in joins.similar(rows, 0.5, 5).collect()})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == likest(sets, 0.5, 5)
+    assert moved < 12 * once
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.75])
+def test_similar_sets_of_all_sizes(spark, threshold):
+    """Around the size up to which sets are sent along, with names for items, a word that all have, copies and empty sets."""
+    rng = random.Random(6)
+    sets = {}
+    for i in range(160):
+        base = [f"w{rng.randrange(9)}.{j}" for j in range(rng.choice([1, 2, 3, 8, 31, 32, 33, 40, 70]))]
+        sets[i] = sorted({*base, "all"})
+    sets |= {i: sets[i % 40] for i in range(160, 200)} | {200: [], 201: [], 202: ["all"], 203: ["all"]}
+    for i in range(204, 260):
+        whole = sets[rng.randrange(160)]
+        sets[i] = rng.sample(whole, max(1, len(whole) * 3 // 4))
+    rows = spark.createDataFrame(list(sets.items()), "id int, items array<string>")
+    for most in (5, None):
+        found = joins.similar(rows, threshold, most).collect()
+        got = [(r.id, r.other, round(r.similarity, 6)) for r in found]
+        want = {x[:3] for x in likest(sets, threshold, most)}
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_similar_orders_are_those_of_lines(spark, tmp_path):
+    """The SQL asks for lines alone: an order without a row of its own counts, and one with two counts once."""
+    lines = [(1, 10), (1, 11), (2, 10), (2, 11), (2, 10), (3, 12), (None, 12), (None, 10)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").createOrReplaceTempView("made")
+    spark.sql("SELECT *, 1L AS l_suppkey, 'R' AS l_returnflag FROM made").write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = "SELECT k AS o_orderkey, '1-URGENT' AS o_orderpriority, 'O' AS o_orderstatus, timestamp '2020-01-01' AS o_orderdate, 1.0D AS o_totalprice FROM VALUES (1L), (1L), (3L) AS t(k)"
+    spark.sql(orders).write.parquet(f"{tmp_path}/orders.parquet")
+    assert sorted(map(tuple, catalogue.dup_jaccard_top5(spark, str(tmp_path)).collect())) == [(1, 2, 1.0, 1), (2, 1, 1.0, 1)]
